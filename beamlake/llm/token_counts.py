@@ -16,7 +16,7 @@ from beamlake.llm.tokens import byte_chunks, byte_counts, tokenizer, tokenizer_p
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 #: Entries of the broadcast table, share of the rows it is made from, and tasks that make it.
-FREQUENT, SAMPLE, SAMPLE_TASKS = 65_536, 0.02, 16
+FREQUENT, SAMPLE, SAMPLE_TASKS = 16_384, 0.02, 8
 _tables: dict = {}
 
 
