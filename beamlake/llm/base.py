@@ -78,25 +78,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def runs_hashed(h: np.ndarray, k: int) -> np.ndarray:
-    """One hash for each run of k items, by doubling: O(n log k)."""
-    if len(h) < k:
-        return np.empty(0, U64)
-    out, have, todo, step = None, 0, k, mixed(h)
-    length = 1
-    while todo:
-        if todo & 1:
-            if out is None:
-                out, have = step, length
-            else:
-                n = len(h) - (have + length) + 1
-                out = mixed(out[:n] * U64(0x9E3779B97F4A7C15) + step[have : have + n])
-                have += length
-        todo >>= 1
-        if todo:
-            n = len(h) - 2 * length + 1
-            step = mixed(step[:n] * U64(0xD6E8FEB86659FD93) + step[length : length + n])
-            length *= 2
+def runs_hashed(h: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """For each length one hash of every run of so many items, by doubling: O(n log length).
+
+    A run's value is a fixed odd-weighted sum of its items' 64-bit hashes, mixed at the end."""
+    steps, length = {1: h}, 1
+    while 2 * length <= max(lengths):
+        n = max(0, len(h) - 2 * length + 1)
+        steps[2 * length] = steps[length][:n] * U64(0xD6E8FEB86659FD93 + 4 * length) + steps[length][length : length + n]
+        length *= 2
+    out = []
+    for k in lengths:
+        n, total, done = max(0, len(h) - k + 1), None, 0
+        for size in sorted((s for s in steps if s & k), reverse=True):
+            part = steps[size][done : done + n]
+            total = part if total is None else total * U64(0x9E3779B97F4A7C15) + part
+            done += size
+        out.append(mixed(total))
     return out
 
 

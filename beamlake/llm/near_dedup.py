@@ -21,7 +21,7 @@ _SHIFT = U64(48)
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of k words (of all words if there are fewer)."""
     h = hashes(words_of(text, lower=True))
-    return np.unique(runs_hashed(h, min(k, len(h)))) if len(h) else h
+    return np.unique(runs_hashed(h, min(k, len(h)))[0]) if len(h) else h
 
 
 def super_minhash(elements: np.ndarray, m: int) -> np.ndarray:
