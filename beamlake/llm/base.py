@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -172,3 +174,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if before is not None and tuple(mark) == before:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = tuple(mark)
+
+
+def one_blas_thread() -> None:
+    """Keeps numpy's OpenBLAS to the task's own core; several workers with a thread for each core would only wait for each other."""
+    global _limited
+    if _limited:
+        return
+    _limited = True
+    np.dot(np.ones((2, 2)), np.ones((2, 2)))
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as maps:
+        for path in {x.split()[-1] for x in maps if "openblas" in x}:
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+                    break
+
+
+_limited = False

@@ -141,12 +141,12 @@ def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
     return written(found, "byte-spans")
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) and the other columns of docs(doc_id, text, ...).
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) and the columns named by others, for each row of docs(doc_id, text).
 
     whole_characters: a removed run shrinks to whole UTF-8 characters, so that the rest is text. Null and empty texts have no bytes.
     Rows of a null doc_id are compared with nothing and keep all. Repeated rows of one doc_id are answered alike, as one. Texts of any
-    length are taken whole; an empty table gives no rows; only doc_id and text are read."""
+    length are taken whole; an empty table gives no rows; no other columns are read."""
 
     def cut(batch):
         n, gone, runs, sha, kept = [], [], [], [], []
@@ -170,10 +170,14 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_character
             sha.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest)
         of = (n, gone, runs)
-        return {"doc_id": batch.column(0)} | {c: pa.array(v, pa.int64()) for c, v in zip(("n_bytes", "n_removed", "n_spans"), of, strict=True)} | {"kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary())}
+        return {"doc_id": batch.column(0)} | {c: batch.column(3 + i) for i, c in enumerate(others)} | {c: pa.array(v, pa.int64()) for c, v in zip(("n_bytes", "n_removed", "n_spans"), of, strict=True)} | {"kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary())}
 
     spans = by_document(repeated_byte_spans(docs, length))
-    return map_arrow(docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", rows=256)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    carried = "".join(f"{c} {kinds[c]}, " for c in others)
+    given = docs.select("doc_id", "text", *[F.col(c).alias(f"other_{i}") for i, c in enumerate(others)])
+    asked = given.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *[f"other_{i}" for i in range(len(others))])
+    return map_arrow(asked, cut, f"doc_id long, {carried}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", rows=256)
 
 
 def op10_interval_expansion_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
