@@ -1,20 +1,24 @@
 """Near-duplicates by SuperMinHash: signatures, banding, verification on full shingle sets, union-find grouping.
 
-Documents with equal shingle sets become one class first, so copies cost nothing further. Buckets are never expanded into all pairs:
-each round compares a few pivots of every bucket that still spans several components with its other members, and drops the pivots."""
+Documents with equal shingle sets become one class first, so copies cost nothing further. A bucket is not expanded into all pairs: its
+members are compared with one pivot, which settles families of close copies; what then still spans several components is compared
+in blocks of sets, whose pairs never become rows."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, components, hashes, map_arrow, mixed, runs_hashed, table, words_of, written
+from beamlake.llm.base import U64, components, hashes, map_arrow, mixed, one_blas_thread, runs_hashed, table, words_of, written
 
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^5)^32 < 4e-6.
 BANDS, BAND_ROWS = 32, 5
+#: Ids of a bucket up to which its pairs are listed; ids of a block beyond.
+SMALL_BUCKET, BLOCK = 8, 256
 _SHIFT = U64(48)
 
 
@@ -90,30 +94,77 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b"), check, "a long, b long")
 
 
+def block_links(left: list, right: list, percent: int, same: bool) -> list[tuple[int, int]]:
+    """One link for each two components between two blocks of (id, component, items); exact counts by incidence products."""
+    sets = [[np.frombuffer(r[2], U64) for r in side] for side in (left, right)]
+    sizes = [np.array([len(x) for x in side], np.float64) for side in sets]
+    shared = np.intersect1d(np.concatenate(sets[0]), np.concatenate(sets[1]))
+    both = np.zeros((len(left), len(right)))
+    places = []
+    for side in sets:
+        flat, doc = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.searchsorted(shared, flat)
+        hit = shared[np.minimum(at, len(shared) - 1)] == flat if len(shared) else np.zeros(len(flat), bool)
+        places.append((doc[hit], at[hit]))
+    for first in range(0, len(shared), 4096):
+        parts = []
+        for (doc, at), side in zip(places, sets, strict=True):
+            m, use = np.zeros((len(side), 4096), np.float32), (at >= first) & (at < first + 4096)
+            m[doc[use], at[use] - first] = 1
+            parts.append(m)
+        both += parts[0] @ parts[1].T
+    c = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
+    link = (100 * both >= percent * (sizes[0][:, None] + sizes[1] - both)) & (c[0][:, None] != c[1])
+    out = {}
+    for i, j in zip(*np.nonzero(np.triu(link) if same else link), strict=True):
+        out.setdefault((min(left[i][1], right[j][1]), max(left[i][1], right[j][1])), (left[i][0], right[j][0]))
+    return list(out.values())
+
+
+def crowded_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components within families: ids joined by crowded buckets. A family is cut into blocks of BLOCK ids, ordered by
+    component; blocks are compared with each other, except where both lie in one component, so that no pair is a row."""
+    heads = members.groupBy("key").agg(F.min("id").alias("head"))
+    families = components(members.join(heads, "key").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    ids = members.select("id", "c").distinct().join(families.withColumnRenamed("component", "family"), "id")
+    order = Window.partitionBy("family").orderBy("c", "id")
+    ids = written(ids.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "families")
+    blocks = ids.groupBy("family", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    other = blocks.select("family", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    cells = written(blocks.withColumnRenamed("block", "i").join(other, "family").where("i <= j and not (lo = hi and lo_j = hi_j and lo = lo_j)").select("family", "i", "j"), "cells")
+    rows = ids.join(sets, "id")
+    one = cells.join(rows.withColumnRenamed("block", "i"), ["family", "i"]).select("family", "i", "j", F.lit(0).alias("side"), "id", "c", "items")
+    two = cells.where("i < j").join(rows.withColumnRenamed("block", "j"), ["family", "j"]).select("family", "i", "j", F.lit(1).alias("side"), "id", "c", "items")
+
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        one_blas_thread()
+        left, right = ([tuple(r) for r in pdf.loc[pdf["side"] == s, ["id", "c", "items"]].itertuples(index=False)] for s in (0, 1))
+        same = key[1] == key[2]
+        return pd.DataFrame(block_links(left, left if same else right, percent, same), columns=["a", "b"]).astype("int64")
+
+    return one.union(two).groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) over members(key, id): ids of one key with similar sets are linked.
 
-    A round: in each bucket that spans several components, the first `pivots` ids are compared with the others of other components
-    and leave the bucket. pivots doubles, so that the rounds stay few; each pair of a bucket is compared, or is known to be
-    joined, when the bucket is done."""
-    edges, labels, pivots = None, None, 1
-    while True:
-        if labels is None:
-            now = members.withColumn("c", F.col("id"))
-        else:
-            now = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        wide = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        ranked = now.join(wide, "key").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        members = written(ranked, "members")
-        heads = members.where(F.col("n") <= pivots).select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-        pairs = heads.join(members.select("key", F.col("id").alias("b"), F.col("c").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        found = written(confirmed(pairs, sets, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        members = members.where(F.col("n") > pivots).select("key", "id")
-        if members.isEmpty():
-            return components(edges)
-        labels = components(edges)
-        pivots *= 2
+    First each bucket's ids are compared with its least one. Buckets that still span several components are done in full: small ones
+    pair by pair (each pair once, however many buckets it shares), the others by blocks of their families."""
+    pivot = members.groupBy("key").agg(F.min("id").alias("a"))
+    pairs = members.join(pivot, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    labels = components(written(confirmed(pairs, sets, percent), "links"))
+    now = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    wide = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    left = written(now.join(wide, "key"), "left")
+    few, many = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET).select("key", "id", "c")
+    ones, twos = few.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
+    tried = few.groupBy("key").agg(F.min("id").alias("least"))  # compared already
+    pairs = ones.join(tried, "key").where("a <> least").drop("least").join(twos, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    found = confirmed(pairs, sets, percent)
+    if not many.isEmpty():
+        found = found.union(crowded_links(many, sets, percent))
+    more = written(found, "links")
+    return labels if more.isEmpty() else components(more.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
