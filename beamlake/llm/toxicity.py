@@ -75,6 +75,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, passes: i
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("turn", "label", "text")  # at most `rows` small rows
     ready = map_arrow(sample, grams, "turn long, label int, slots array<int>")
     r = ready.repartition(1).sortWithinPartitions("turn").mapInArrow(learn, "bias double, at array<int>, w array<float>").first()
+    if r is None:  # no task ran: there is nothing to learn from
+        return Ftrl(0.05).bias, np.empty(0, np.int64), np.empty(0, np.float32)
     return r["bias"], np.array(r["at"], np.int64), np.array(r["w"], np.float32)
 
 
