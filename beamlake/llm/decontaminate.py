@@ -22,6 +22,8 @@ FEATURES, RANK, FIT_DOCS = 1 << 15, 64, 4000
 SCALES = (8, 16, 32, 64, 128, 256)
 #: Least cosine of a candidate; share of an item's words in order that is a match by itself, or with its answer; the answer's part.
 COSINE, CERTAIN, LIKELY, ANSWER, ANSWER_SHARE = 0.6, 0.8, 0.65, 0.25, 0.75
+#: Features that travel together.
+BLOCK = 512
 _MARKS = b".,;:!?\"'()[]|/-"
 _state: dict = {}
 
@@ -86,15 +88,13 @@ def _summed(rows: DataFrame, width: int) -> np.ndarray:
     schema = "block int, part int, v array<float>"
     for _ in range(2):
         rows = rows.groupBy("block", F.expr("part div 32")).applyInPandas(add, schema)
-    out = np.zeros((FEATURES, width), np.float32)
-    for r in rows.groupBy("block").applyInPandas(add, schema).collect():
-        v = np.array(r["v"], np.float32).reshape(-1, width)
-        out[r["block"] * len(v) : (r["block"] + 1) * len(v)] = v
-    return out
+    found = sorted(rows.groupBy("block").applyInPandas(add, schema).collect(), key=lambda r: r["block"])
+    return np.concatenate([np.array(r["v"], np.float32).reshape(-1, width) for r in found]) if found else np.zeros((FEATURES + BLOCK, width), np.float32)
 
 
-def _emit(matrix: np.ndarray, blocks: int = 64):
+def _emit(matrix: np.ndarray):
     part = TaskContext.get().partitionId()
+    blocks = len(matrix) // BLOCK
     v = matrix.astype(np.float32).reshape(blocks, -1)
     yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part] * blocks, pa.int32()), pa.array(list(v), pa.list_(pa.float32()))], names=["block", "part", "v"])
 
@@ -111,18 +111,19 @@ def fit(docs: DataFrame, items: list[np.ndarray], fit_docs: int = FIT_DOCS, rank
     sample = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("text")  # at most fit_docs ids
 
     def frequency(batches):
-        df = np.zeros(FEATURES)
+        df = np.zeros(FEATURES + BLOCK)  # then the number of passages
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for p in _passages(features(tokens(text))):
                     df[np.unique(p)] += 1
+                    df[FEATURES] += 1
         yield from _emit(df)
 
-    df = _summed(sample.mapInArrow(frequency, schema), 1)[:, 0]
+    counted = _summed(sample.mapInArrow(frequency, schema), 1)[:, 0]
+    df, n = counted[:FEATURES], float(counted[FEATURES]) + len(items)
     for h in items:
         df[np.unique(features(h))] += 1
-    n = max(1.0, float(df.max()))
-    idf = np.square(np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)  # squared: common words alone make no candidate
+    idf = np.square(np.maximum(np.log((n + 10) / (df + 5)), 0) + 0.1).astype(np.float32)  # squared: common words alone make no candidate
 
     def product(parts: list[np.ndarray]) -> np.ndarray:
         start = np.random.default_rng(seed).normal(size=(FEATURES, rank)).astype(np.float32)
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, items: list[np.ndarray], fit_docs: int = FIT_DOCS, rank
         parts = [p for batch in batches for text in batch.column(0).to_pylist() for p in _passages(features(tokens(text)))]
         yield from _emit(product(parts))
 
-    total = _summed(sample.mapInArrow(sketch, schema), rank) + product([features(h) for h in items])
+    total = _summed(sample.mapInArrow(sketch, schema), rank)[:FEATURES] + product([features(h) for h in items])
     basis, _ = np.linalg.qr(total.astype(np.float64))
     return idf, (idf[:, None] * basis).astype(np.float32)
 
