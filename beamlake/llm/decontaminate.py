@@ -123,7 +123,7 @@ def fit(docs: DataFrame, items: list[np.ndarray], fit_docs: int = FIT_DOCS, rank
     df, n = counted[:FEATURES], float(counted[FEATURES]) + len(items)
     for h in items:
         df[np.unique(features(h))] += 1
-    idf = np.square(np.maximum(np.log((n + 10) / (df + 5)), 0) + 0.1).astype(np.float32)  # squared: common words alone make no candidate
+    idf = np.power(np.maximum(np.log((n + 10) / (df + 5)), 0) + 0.1, 3).astype(np.float32)  # cubed: common words alone make no candidate
 
     def product(parts: list[np.ndarray]) -> np.ndarray:
         start = np.random.default_rng(seed).normal(size=(FEATURES, rank)).astype(np.float32)
