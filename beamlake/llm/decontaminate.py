@@ -5,6 +5,7 @@ document against the benchmark items in blocks, then the longest common subseque
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, hashes, map_arrow, one_blas_thread, table, words_of
+from beamlake.llm.base import U64, map_arrow, mixed, one_blas_thread, table
 
 #: Hashed features, latent dimensions, and documents that the decomposition is fitted on at most (all passages are searched).
 FEATURES, RANK, FIT_DOCS = 1 << 15, 64, 4000
@@ -24,13 +25,56 @@ SCALES = (8, 16, 32, 64, 128, 256)
 COSINE, CERTAIN, LIKELY, ANSWER, ANSWER_SHARE = 0.6, 0.8, 0.65, 0.25, 0.75
 #: Features that travel together.
 BLOCK = 512
+#: Words of a document whose passages are searched at once, and bytes that are hashed at once.
+CHUNK, PIECE_BYTES = 1 << 14, 1 << 20
 _MARKS = b".,;:!?\"'()[]|/-"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: By byte: 0 part of a word, 1 a mark, 2 white space; and what it counts in a hash.
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(_MARKS)] = 1
+_KIND[[0x20, *range(0x09, 0x0E)]] = 2
+_ODD = 0x9E3779B97F4A7C15
+_VALUE = mixed(np.arange(1, 257, dtype=U64) * U64(_ODD))
 _state: dict = {}
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, as many as asked for."""
+    if len(_state.get("powers", ((),))[0]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        _state["powers"] = tuple(np.cumprod(np.append(U64(1), np.full(size - 1, base, U64))) for base in (_ODD, pow(_ODD, -1, 1 << 64)))
+    return _state["powers"]
+
+
+def _piece_tokens(raw: np.ndarray) -> np.ndarray:
+    kind = _KIND[raw]
+    core = np.flatnonzero(kind == 0)
+    if not len(core):
+        return np.empty(0, U64)
+    gap = np.flatnonzero(core[1:] - core[:-1] > 1)
+    spaces = np.cumsum(kind == 2, dtype=np.int32)
+    gap = gap[spaces[core[gap + 1]] > spaces[core[gap]]]  # marks alone do not part words
+    first, last = core[np.append(0, gap + 1)], core[np.append(gap, len(core) - 1)]
+    up, down = _powers(len(raw))
+    total = np.cumsum(_VALUE[raw] * up[: len(raw)])
+    before = np.where(first > 0, total[first - 1], U64(0))
+    return mixed((total[last] - before) * down[first])
+
+
 def tokens(text: str | None) -> np.ndarray:
-    """Word hashes without marks around them; runs of marks alone give nothing."""
-    return hashes([w for w in (x.strip(_MARKS) for x in words_of(text, lower=True)) if w])
+    """Word hashes without marks around them; runs of marks alone give nothing.
+
+    A word's hash is a polynomial of its bytes, taken from running sums; long texts go piece by piece, cut at white space."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    if len(raw) <= PIECE_BYTES:
+        return _piece_tokens(np.frombuffer(raw, np.uint8))
+    out, at = [], 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + PIECE_BYTES)
+        end = cut.start() if cut else len(raw)
+        out.append(_piece_tokens(np.frombuffer(raw, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(out)
 
 
 def features(h: np.ndarray) -> np.ndarray:
@@ -151,35 +195,62 @@ def _index(mark: str, shared):
     """Item vectors and words by passage length, made once in each worker."""
     if mark not in _state:
         one_blas_thread()
-        _state.clear()
+        for k in set(_state) - {"powers"}:
+            del _state[k]
         items, projection = shared.value
+        items = [(i, h, set(h.tolist())) for i, h in items]
+        projection = np.concatenate([projection, np.zeros((1, projection.shape[1]), np.float32)])
         by: dict[int, list] = {}
-        for i, (_, h) in enumerate(items):
+        for i, (_, h, _) in enumerate(items):
             by.setdefault(min(SCALES, key=lambda s: abs(np.log(s / len(h)))), []).append(i)
         unit = lambda v: v / max(1e-9, float(np.linalg.norm(v)))
         _state[mark] = items, projection, {s: (np.array(k), np.stack([unit(projection[features(items[i][1])].sum(0)) for i in k], axis=1).astype(np.float32)) for s, k in by.items()}
     return _state[mark]
 
 
+def _candidates(h: np.ndarray, projection: np.ndarray, by: dict):
+    """(passage start, scale, item) wherever the cosine is COSINE or more.
+
+    A passage is four blocks of a quarter of its length; blocks and passages of one length add up to those of twice the length."""
+    least, widest = min(by), max(by)
+    for begin in range(0, len(h), CHUNK):
+        f = features(h[begin : begin + CHUNK + widest])
+        step = least // 4
+        at = np.full(-(-len(f) // (widest // 4)) * (widest // 4), len(projection) - 1)  # the last row is empty
+        at[: len(f)] = f
+        blocks = projection[at].reshape(-1, step, projection.shape[1])
+        blocks = np.add.reduce(blocks, axis=1) if step > 1 else blocks[:, 0]
+        for scale in (s for s in SCALES if least <= s <= widest):
+            step = scale // 4
+            if len(blocks) * step > len(at):
+                blocks = blocks[::2] + blocks[1::2]
+            if scale not in by:
+                continue
+            n = max(1, -(-len(f) // step) - 3)
+            v = blocks[:n].copy()
+            for i in range(1, 4):
+                more = blocks[i : i + n]
+                v[: len(more)] += more
+            bound = COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
+            which, vectors = by[scale]
+            for block in range(0, len(which), 1024):  # the query set in blocks
+                row, item = np.nonzero(v @ vectors[:, block : block + 1024] >= bound)
+                yield from zip((begin + row * step).tolist(), [scale] * len(row), which[block + item].tolist(), strict=True)
+
+
 def find_leaks(h: np.ndarray, items: list, projection: np.ndarray, by: dict) -> dict[int, float]:
     """Best share of each benchmark item that the document's words match."""
     found: dict[int, float] = {}
-    if not len(h):
-        return found
-    sums = np.concatenate([np.zeros((1, projection.shape[1])), np.cumsum(projection[features(h)], axis=0, dtype=np.float64)])
-    for scale, (which, vectors) in by.items():
-        step = max(1, scale // 4)
-        start = np.arange(0, max(1, len(h) - scale + step), step)
-        v = (sums[np.minimum(start + scale, len(h))] - sums[start]).astype(np.float32)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        for block in range(0, len(which), 1024):  # the query set in blocks
-            row, item = np.nonzero(v @ vectors[:, block : block + 1024] >= COSINE)
-            for r, k in zip(row.tolist(), which[block + item].tolist(), strict=True):
-                words = items[k][1]
-                more = step + max(0, len(words) - scale)
-                share = matches(words, h[max(0, start[r] - more) : start[r] + scale + more])
-                if share > found.get(k, 0.0):
-                    found[k] = share
+    for start, scale, k in _candidates(h, projection, by):
+        words = items[k][1]
+        more = scale // 4 + max(0, len(words) - scale)
+        passage = h[max(0, start - more) : start + scale + more]
+        # words that are absent bound the common subsequence
+        if 1 - len(items[k][2].difference(passage.tolist())) / len(words) < LIKELY:
+            continue
+        share = matches(words, passage)
+        if share > found.get(k, 0.0):
+            found[k] = share
     return found
 
 
