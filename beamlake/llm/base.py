@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -48,6 +49,12 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 512) -> DataFrame:
     """function gets slices of at most `rows` rows and returns columns by name."""
 

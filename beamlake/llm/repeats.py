@@ -7,7 +7,6 @@ share an anchor and differ go on to the operator's own method."""
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, hashes, least_positions, mixed, runs_hashed, words_of, written
+from beamlake.llm.base import U64, hashes, least_positions, mixed, runs_hashed, swept, words_of, written
 
 _BYTE = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 #: Units that a task sorts and settles by itself before it passes segments on.
@@ -129,12 +128,10 @@ def repeated(docs: DataFrame, units: Callable[[str | None], np.ndarray], window:
                 lead = (heads[2, -1], heads[3, -1])
             before = (x[0, -1], x[1, -1])
 
-    spark = docs.sparkSession
     mapped = written(docs.select("doc_id", "text").mapInArrow(gather, _FOUND), "segments")
     passed = mapped.where("kind = 1").select("anchor", "segment", "doc_id", "a", "b")
     done = written(passed.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "a").mapInArrow(settle, _FOUND), "settled")
-    gc.collect()
-    spark._jvm.System.gc()  # the shuffle's files go with the frame
+    swept(docs.sparkSession)
     spans = mapped.where("kind = 0").union(done.where("kind = 0")).select("doc_id", "a", "b")
     return spans, done.where("kind = 1").select("anchor", "doc_id", "a", "b")
 
@@ -174,5 +171,6 @@ def repeated_windows(docs: DataFrame, open_: DataFrame, units: Callable[[str | N
 
     asked = open_.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "a", "b")).alias("found"))
     rows = written(docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", "text", "found").mapInArrow(cut, "anchor long, whole long, doc_id long, a int"), "windows")
+    swept(docs.sparkSession)
     first = rows.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
     return rows.join(first, ["anchor", "whole"]).where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", "a", F.col("a").alias("b"))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from beamlake.llm.base import map_arrow, table, words_of, written
+from beamlake.llm.base import map_arrow, removed, swept, table, words_of, written
 from beamlake.llm.repeats import by_document, covered, repeated, repeated_windows, word_units
 
 WINDOW = 20
@@ -21,7 +21,13 @@ WINDOW = 20
 def repeated_word_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """spans(doc_id, a, b): starts a..b (in words) of windows that also start earlier, by smaller doc_id or place."""
     spans, candidates = repeated(docs, word_units, window, window // 2)
-    return written(spans.union(repeated_windows(docs, candidates, word_units, window)), "word-spans")
+    extended = repeated_windows(docs, candidates, word_units, window)
+    found = written(spans.union(extended), "word-spans")
+    for used in (spans, extended):
+        removed(docs.sparkSession, used)
+    del candidates, extended, spans, used
+    swept(docs.sparkSession)
+    return found
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
