@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import map_arrow, table, written
+from beamlake.llm.base import map_arrow, removed, swept, table, written
 from beamlake.llm.repeats import _spans, by_document, byte_units, covered, repeated, repeated_windows
 
 LENGTH, ANCHOR = 100, 48
@@ -138,7 +138,12 @@ def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
     found = spans.union(expanded)
     if not crowded.isEmpty():
         found = found.union(repeated_windows(docs, crowded.select("anchor", "doc_id", "a", "b"), byte_units, length))
-    return written(found, "byte-spans")
+    found = written(found, "byte-spans")
+    for used in (spans, open_):
+        removed(docs.sparkSession, used)
+    del asked, crowded, cuts, expanded, open_, sizes, spans, used
+    swept(docs.sparkSession)
+    return found
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
