@@ -132,11 +132,16 @@ def least_positions(h: np.ndarray, w: int) -> np.ndarray:
     return np.where(left[j] <= right[i], left_at[j], right_at[i])
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+#: Edges of spanning forests up to which one task joins them all (at most twice as many ids, some 60 MB there).
+ONE_TASK = 1 << 18
+
+
+def components(edges: DataFrame, name: str = "components", one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) for every id in edges(a, b): the least id that can be reached.
 
-    Each task first joins its own edges by union-find and passes on a spanning forest; then large-star and small-star rounds of
-    SQL joins run until nothing changes. Edges stay on the executors; a round's table is written to the shared folder."""
+    Each task first joins its own edges by union-find and passes on a spanning forest. Up to one_task edges (a size that is counted)
+    one further task does the same to all of these; beyond, large-star and small-star rounds of SQL joins run until nothing changes.
+    Edges stay on the executors; every table is written to the shared folder."""
 
     def forest(batches):
         parent: dict[int, int] = {}
@@ -163,8 +168,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     spark = edges.sparkSession
     now = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(forest, "a long, b long"), name)
-    if now.isEmpty():
-        return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    left = now.count()
+    if left <= one_task:
+        done = written(now.coalesce(1).mapInArrow(forest, "a long, b long"), name) if left else now
+        return done.select(F.col("a").alias("id"), F.col("b").alias("component"))
     before = None
     while True:
         both = now.union(now.select("b", "a"))

@@ -158,9 +158,10 @@ def test_signature_estimates_similarity():
     assert abs(np.mean(got) - 0.8) < 0.03
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 18, 0])
+def test_components(spark, one_task):
     chain = [(i, i + 1) for i in range(60)] + [(100, 102), (102, 101), (7, 7)]
-    got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long"), one_task=one_task).collect()))
     assert all(got.get(i, 0) == 0 for i in range(61)) and got[101] == got[102] == 100
 
 
