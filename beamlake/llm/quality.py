@@ -16,11 +16,13 @@ from beamlake.llm.base import hashes, map_arrow, runs_hashed, table, words_of, w
 COVERED, STEPS, LEAST_ROWS = 0.75, 4, 40
 #: Rejected beyond this squared distance: one clean row in several million, were the five variables normal.
 CUTOFF = 40.0
-#: Transformed statistics with the least standard deviation taken as real; constant statistics would otherwise reject any change.
-FEATURES = {"log_words": 1.0, "log_word_length": 0.15, "symbols": 0.1, "dup_lines": 0.15, "repeats": 0.15}
-_MEDIAN_CHI2_5 = 4.351
+#: Transformed statistics with the least change that a text can show (a word, a word of twice the length, a symbol, a line, two runs of three words).
+#: Its median over the group is the least standard deviation; constant statistics would otherwise reject any change.
+FEATURES = {"log_words": "1 / n_words", "log_word_length": "1 / n_words", "symbols": "sqrt(1 / word_chars)", "dup_lines": "sqrt(1 / n_lines)", "repeats": "sqrt(6 / n_words)"}
+#: Median squared distance by the number of variables that vary beyond the least change.
+_MEDIAN_CHI2 = (4.351, 0.455, 1.386, 2.366, 3.357, 4.351)
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
-_BASE = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " + ", ".join(f"{f} double" for f in FEATURES)
+_BASE = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, base_failed boolean, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def text_statistics(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -52,7 +54,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         n, chars, symbols, dup, repeat, lines = np.array(rows, np.int64).T if rows else np.empty((6, 0), np.int64)
         one = np.maximum(n, 1)
         x = (np.log1p(n), np.log(np.maximum(chars, 1) / one), np.sqrt(symbols / np.maximum(chars, 1)), np.sqrt(dup / np.maximum(lines, 1)), np.sqrt(repeat / one))
-        return {"doc_id": batch.column(0), "lang": batch.column(1), "source": batch.column(2), "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": (n < 50) | (100 * repeat > 50 * n)} | dict(zip(FEATURES, x, strict=True))
+        return {"doc_id": batch.column(0), "lang": batch.column(1), "source": batch.column(2), "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": lines, "base_failed": (n < 50) | (100 * repeat > 50 * n)} | dict(zip(FEATURES, x, strict=True))
 
     return map_arrow(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text"), measure, _BASE)
 
@@ -63,40 +65,40 @@ def _squared_distance():
     return sum((away[i] * away[j] * F.col("precision")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
 
 
-def _distance(data: DataFrame, shapes: DataFrame) -> DataFrame:
-    return data.join(shapes, ["lang", "source"]).withColumn("d2", _squared_distance())
-
-
 def robust_shapes(data: DataFrame, covered: float = COVERED, steps: int = STEPS) -> DataFrame:
     """(lang, source, rows, centre, precision) by deterministic concentration from medians and median deviations."""
     group, names, k = ["lang", "source"], list(FEATURES), len(FEATURES)
-    floors = list(FEATURES.values())
-    centre = written(data.groupBy(group).agg(F.array(*[F.percentile_approx(f, 0.5, 2000) for f in names]).alias("centre")), "centres")
+    middles = lambda x: F.array(*[F.percentile_approx(e, 0.5, 2000) for e in x])
+    centre = written(data.groupBy(group).agg(middles(names).alias("centre"), middles(map(F.expr, FEATURES.values())).alias("floors")), "centres")
     spread = data.join(centre, group).groupBy(group).agg(*[F.percentile_approx(F.abs(F.col(f) - F.col("centre")[i]), 0.5, 2000).alias(f) for i, f in enumerate(names)])
-    diagonal = F.array(*[F.lit(1.0) / F.pow(F.greatest(F.col(names[i]) * 1.4826, F.lit(floors[i])), 2) if i == j else F.lit(0.0) for i in range(k) for j in range(k)])
-    shapes = written(spread.select(*group, diagonal.alias("precision")).join(centre, group).select(*group, "centre", "precision"), "shapes")
+    diagonal = F.array(*[F.lit(1.0) / F.pow(F.greatest(F.col(names[i]) * 1.4826, F.col("floors")[i]), 2) if i == j else F.lit(0.0) for i in range(k) for j in range(k)])
+    shapes = written(spread.join(centre, group).select(*group, "centre", diagonal.alias("precision"), "floors", F.lit(k).alias("real")), "shapes")
+
+    def distance(shapes):
+        return data.join(shapes, group).withColumn("d2", _squared_distance())
 
     def invert(batch):
         out = []
         for row in batch.to_pylist():
-            n, s = row["n"], np.array(row["s"])
+            n, s, floors = row["n"], np.array(row["s"]), np.array(row["floors"])
             mean = s[:k] / n
             cov = np.empty((k, k))
             cov[np.triu_indices(k)] = s[k:] / n
             cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
+            real = int((np.diag(cov) > np.square(floors)).sum())
             scale = np.sqrt(np.maximum(np.diag(cov), np.square(floors)) / np.maximum(np.diag(cov), 1e-18))
             cov = np.where(np.eye(k, dtype=bool), np.maximum(np.diag(cov), np.square(floors)), cov / np.sqrt(np.outer(scale, scale)) * 0.95)
-            out.append((mean, np.linalg.pinv(cov, hermitian=True).ravel()))
-        return {"lang": batch.column(0), "source": batch.column(1), "centre": pa.array([m for m, _ in out], pa.list_(pa.float64())), "precision": pa.array([p for _, p in out], pa.list_(pa.float64()))}
+            out.append((mean, np.linalg.pinv(cov, hermitian=True).ravel(), real))
+        return {"lang": batch.column(0), "source": batch.column(1), "centre": pa.array([m for m, _, _ in out], pa.list_(pa.float64())), "precision": pa.array([p for _, p, _ in out], pa.list_(pa.float64())), "floors": batch.column(4), "real": pa.array([n for _, _, n in out], pa.int32())}
 
     moments = F.array(*[F.sum(f) for f in names], *[F.sum(F.col(names[i]) * F.col(names[j])) for i in range(k) for j in range(i, k)])
     for _ in range(steps):
-        far = _distance(data, shapes)
-        bound = far.groupBy(group).agg(F.percentile_approx("d2", covered, 2000).alias("bound"))
-        inside = far.join(bound, group).where("d2 <= bound").groupBy(group).agg(F.count("*").alias("n"), moments.alias("s"))
-        shapes = written(map_arrow(inside.select(*group, "n", "s"), invert, "lang string, source string, centre array<double>, precision array<double>"), "shapes")
-    middle = _distance(data, shapes).groupBy(group).agg(F.percentile_approx("d2", 0.5, 2000).alias("middle"), F.count("*").alias("rows"))
-    size = F.greatest(F.lit(1.0), F.col("middle") / _MEDIAN_CHI2_5)  # covered rows are the closest, so their spread is too small
+        far = distance(shapes)
+        bound = written(far.groupBy(group).agg(F.percentile_approx("d2", covered, 2000).alias("bound")), "bounds")
+        inside = far.join(bound, group).where("d2 <= bound").groupBy(group).agg(F.count("*").alias("n"), moments.alias("s"), F.first("floors").alias("floors"))
+        shapes = written(map_arrow(inside.select(*group, "n", "s", "floors"), invert, "lang string, source string, centre array<double>, precision array<double>, floors array<double>, real int"), "shapes")
+    middle = distance(shapes).groupBy(group).agg(F.percentile_approx("d2", 0.5, 2000).alias("middle"), F.count("*").alias("rows"))
+    size = F.greatest(F.lit(1.0), F.col("middle") / F.array(*map(F.lit, _MEDIAN_CHI2))[F.col("real")])  # covered rows are the closest, so their spread is too small
     return written(shapes.join(middle, group).select(*group, "rows", "centre", F.transform("precision", lambda p: p / size).alias("precision")), "shapes")
 
 
