@@ -23,3 +23,9 @@ def _kept(spark, rows):
 def test_quality_rejects_moderate_junk(spark):
     got = _kept(spark, [(i, _text(rnd.randrange(60, 300)), "en", "s") for i in range(200)] + [(900 + i, _junk(), "en", "s") for i in range(5)])
     assert all(got[i] for i in range(200)) and not any(got[900 + i] for i in range(5))
+
+
+def test_quality_judges_small_groups(spark):
+    clean = [(i, _text(rnd.randrange(60, 300)), "en", f"s{i % 20}") for i in range(200)]
+    got = _kept(spark, clean + [(900, _junk(), "en", "s3"), (901, _junk(), "en", "alone"), (902, _junk(), "xx", "alone")])
+    assert all(got[i] for i in range(200)) and not any(got[900 + i] for i in range(3))
