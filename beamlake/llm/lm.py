@@ -22,8 +22,8 @@ VOCABULARY, CLASSES, HIDDEN = 4096, 64, 24
 UNKNOWN, END = 0, 1
 #: Words whose counts are broadcast; the counts of the others are joined.
 FREQUENT = 65_536
-#: Documents of the starting model (one bounded task), and the share of the training documents that every task then learns from.
-SEED_DOCS, SHARE = 1500, 0.25
+#: Documents of the starting model (one bounded task), and the share of the training documents that the tasks then learn from: all.
+SEED_DOCS, SHARE = 1500, 1.0
 LANES, WINDOW, RATE = 32, 24, 0.08
 _END_HASH = U64(0x5EED0FE4D0000001)
 _CHUNK = 8192

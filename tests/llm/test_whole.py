@@ -2,6 +2,7 @@
 
 import random
 
+from beamlake.llm import lm
 from beamlake.llm.quality import quality
 
 rnd = random.Random(12)
@@ -29,3 +30,12 @@ def test_quality_judges_small_groups(spark):
     clean = [(i, _text(rnd.randrange(60, 300)), "en", f"s{i % 20}") for i in range(200)]
     got = _kept(spark, clean + [(900, _junk(), "en", "s3"), (901, _junk(), "en", "alone"), (902, _junk(), "xx", "alone")])
     assert all(got[i] for i in range(200)) and not any(got[900 + i] for i in range(3))
+
+
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    """After the seed the one task reports as many tokens as the training documents have."""
+    docs = spark.createDataFrame([(i, _text(6)) for i in range(300)], "doc_id long, text string")
+    trained = []
+    monkeypatch.setattr(lm, "_averaged", lambda parts: (trained.append(parts.agg({"tokens": "max"}).first()[0]), lm.np.empty(0, lm.np.float32))[1])
+    rows = lm.score_documents(docs.coalesce(1), seed_docs=10).collect()
+    assert trained[1] == sum(r["n_tokens"] for r in rows if not r["held_out"]) == rows[0]["train_tokens"]
