@@ -22,7 +22,7 @@ FEATURES, RANK, FIT_DOCS = 1 << 15, 64, 4000
 #: Passage lengths; an item is sought in passages of the length nearest to its own, a quarter of it apart.
 SCALES = (8, 16, 32, 64, 128, 256)
 #: Least cosine of a candidate; share of an item's words in order that is a match by itself, or with its answer; the answer's part.
-COSINE, CERTAIN, LIKELY, ANSWER, ANSWER_SHARE = 0.6, 0.8, 0.65, 0.25, 0.75
+COSINE, CERTAIN, LIKELY, ANSWER, ANSWER_SHARE = 0.4, 0.8, 0.65, 0.25, 0.75
 #: Features that travel together.
 BLOCK = 512
 #: Words of a document whose passages are searched at once, and bytes that are hashed at once.
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, items: list[np.ndarray], fit_docs: int = FIT_DOCS, rank
     df, n = counted[:FEATURES], float(counted[FEATURES]) + len(items)
     for h in items:
         df[np.unique(features(h))] += 1
-    idf = np.power(np.maximum(np.log((n + 10) / (df + 5)), 0) + 0.1, 3).astype(np.float32)  # cubed: common words alone make no candidate
+    idf = (np.maximum(np.log((n + 10) / (df + 5)), 0) + 0.1).astype(np.float32)
 
     def product(parts: list[np.ndarray]) -> np.ndarray:
         start = np.random.default_rng(seed).normal(size=(FEATURES, rank)).astype(np.float32)
@@ -191,6 +191,15 @@ def fit(docs: DataFrame, items: list[np.ndarray], fit_docs: int = FIT_DOCS, rank
     return idf, (idf[:, None] * basis).astype(np.float32)
 
 
+def _held(vocabulary: np.ndarray, items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which words (the last row is for all others) each item holds, and the words in order that are its least match."""
+    held = np.zeros((len(vocabulary) + 1, len(items)), np.uint8)
+    for i, h in enumerate(items):
+        held[np.searchsorted(vocabulary, h), i] = 1
+    size = np.array([len(h) for h in items])
+    return held, np.stack([size, np.ceil(LIKELY * size - 1e-9).astype(np.int64)])
+
+
 def _index(mark: str, shared):
     """Item vectors and words by passage length, made once in each worker."""
     if mark not in _state:
@@ -199,20 +208,24 @@ def _index(mark: str, shared):
             del _state[k]
         items, projection = shared.value
         items = [(i, h, set(h.tolist())) for i, h in items]
+        vocabulary = np.unique(np.concatenate([h for _, h, _ in items])) if items else np.empty(0, U64)
         projection = np.concatenate([projection, np.zeros((1, projection.shape[1]), np.float32)])
         by: dict[int, list] = {}
         for i, (_, h, _) in enumerate(items):
             by.setdefault(min(SCALES, key=lambda s: abs(np.log(s / len(h)))), []).append(i)
         unit = lambda v: v / max(1e-9, float(np.linalg.norm(v)))
-        _state[mark] = items, projection, {s: (np.array(k), np.stack([unit(projection[features(items[i][1])].sum(0)) for i in k], axis=1).astype(np.float32)) for s, k in by.items()}
+        _state[mark] = items, projection, {s: (np.array(k), np.stack([unit(projection[features(items[i][1])].sum(0)) for i in k], axis=1).astype(np.float32), *_held(vocabulary, [items[i][1] for i in k])) for s, k in by.items()}, vocabulary
     return _state[mark]
 
 
-def _candidates(h: np.ndarray, projection: np.ndarray, by: dict):
-    """(passage start, scale, item) wherever the cosine is COSINE or more.
+def _candidates(h: np.ndarray, projection: np.ndarray, by: dict, vocabulary: np.ndarray):
+    """(passage start, scale, item) wherever the cosine is COSINE or more and enough words are the item's.
 
+    A common subsequence is no longer than the count of the passage's words that the item holds, so that bound loses no match.
     A passage is four blocks of a quarter of its length; blocks and passages of one length add up to those of twice the length."""
     least, widest = min(by), max(by)
+    place = np.searchsorted(vocabulary, h)
+    place[vocabulary[np.minimum(place, len(vocabulary) - 1)] != h] = len(vocabulary)
     for begin in range(0, len(h), CHUNK):
         f = features(h[begin : begin + CHUNK + widest])
         step = least // 4
@@ -232,16 +245,28 @@ def _candidates(h: np.ndarray, projection: np.ndarray, by: dict):
                 more = blocks[i : i + n]
                 v[: len(more)] += more
             bound = COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
-            which, vectors = by[scale]
+            which, vectors, held, (size, need) = by[scale]
             for block in range(0, len(which), 1024):  # the query set in blocks
                 row, item = np.nonzero(v @ vectors[:, block : block + 1024] >= bound)
+                if not len(row):
+                    continue
+                used, at_item = np.unique(item, return_inverse=True)
+                more = scale // 4 + np.maximum(0, size[block + item] - scale)
+                low, high = begin + row * step - more, begin + row * step + scale + more
+                first = max(0, int(low.min()))
+                near = place[first : int(high.max())]
+                count = np.zeros((len(near) + 1, len(used)), np.int32)
+                np.cumsum(held[:, block + used][near], axis=0, out=count[1:])
+                low, high = np.maximum(low - first, 0), np.minimum(high - first, len(near))
+                enough = count[high, at_item] - count[low, at_item] >= need[block + item]
+                row, item = row[enough], item[enough]
                 yield from zip((begin + row * step).tolist(), [scale] * len(row), which[block + item].tolist(), strict=True)
 
 
-def find_leaks(h: np.ndarray, items: list, projection: np.ndarray, by: dict) -> dict[int, float]:
+def find_leaks(h: np.ndarray, items: list, projection: np.ndarray, by: dict, vocabulary: np.ndarray) -> dict[int, float]:
     """Best share of each benchmark item that the document's words match."""
     found: dict[int, float] = {}
-    for start, scale, k in _candidates(h, projection, by):
+    for start, scale, k in _candidates(h, projection, by, vocabulary):
         words = items[k][1]
         more = scale // 4 + max(0, len(words) - scale)
         passage = h[max(0, start - more) : start + scale + more]
@@ -265,8 +290,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, fit_docs: int = FIT_DOCS) -> Da
     mark, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((items, projection))
 
     def search(batch):
-        items, projection, by = _index(mark, shared)
-        found = [find_leaks(tokens(t), items, projection, by) if by else {} for t in batch.column(1).to_pylist()]
+        items, projection, by, vocabulary = _index(mark, shared)
+        found = [find_leaks(tokens(t), items, projection, by, vocabulary) if by else {} for t in batch.column(1).to_pylist()]
         ids = [sorted((items[k][0] for k in f), key=lambda x: (x is not None, x)) for f in found]
         return {"doc_id": batch.column(0), "item_ids": pa.array(ids, pa.list_(pa.int64())), "best_share": pa.array([max(f.values(), default=0.0) for f in found]), "kept": pa.array([not f for f in found], pa.bool_())}
 

@@ -2,7 +2,9 @@
 
 import random
 
-from beamlake.llm import lm
+import numpy as np
+
+from beamlake.llm import decontaminate, lm
 from beamlake.llm.quality import quality
 
 rnd = random.Random(12)
@@ -39,3 +41,28 @@ def test_lm_learns_from_every_training_document(spark, monkeypatch):
     monkeypatch.setattr(lm, "_averaged", lambda parts: (trained.append(parts.agg({"tokens": "max"}).first()[0]), lm.np.empty(0, lm.np.float32))[1])
     rows = lm.score_documents(docs.coalesce(1), seed_docs=10).collect()
     assert trained[1] == sum(r["n_tokens"] for r in rows if not r["held_out"]) == rows[0]["train_tokens"]
+
+
+def _zipf(n):
+    return [f"word{int(3000 ** rnd.random())}" for _ in range(n)]
+
+
+def test_decontamination_finds_all_that_brute_force_finds(spark):
+    """Items with their rarest fifth replaced, in texts of the same words; every item against every window of every text."""
+    items = [_zipf(40) for _ in range(30)]
+    docs = [_zipf(rnd.randrange(60, 200)) for _ in range(120)]
+    for i, doc in enumerate(docs[:90]):
+        near, at = list(items[i % 30]), rnd.randrange(len(doc))
+        for j in sorted(range(40), key=lambda j: -int(near[j][4:]))[: 4 * (i % 3)]:
+            near[j] = f"other{rnd.randrange(9**9)}"
+        doc[at:at] = near
+    hashed = [decontaminate.tokens(" ".join(x)) for x in items]
+
+    def slow(doc):
+        h = decontaminate.tokens(" ".join(doc))
+        return {k for k, item in enumerate(hashed) if any(decontaminate.matches(item, h[i : i + 50]) for i in range(0, len(h), 5))}
+
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: set(r["item_ids"]) for r in decontaminate.leaks(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string"), bench).collect()}
+    want = {i: slow(doc) for i, doc in enumerate(docs)}
+    assert sum(map(len, want.values())) >= 90 and all(want[i] <= got[i] for i in want)
