@@ -15,10 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, map_arrow, mixed, one_blas_thread, table
+from beamlake.llm.base import U64, map_arrow, mixed, one_blas_thread, removed, table, written
 
-#: Hashed features, latent dimensions, and documents that the decomposition is fitted on at most (all passages are searched).
-FEATURES, RANK, FIT_DOCS = 1 << 15, 64, 4000
+#: Hashed features and latent dimensions.
+FEATURES, RANK = 1 << 15, 64
 #: Passage lengths; an item is sought in passages of the length nearest to its own, a quarter of it apart.
 SCALES = (8, 16, 32, 64, 128, 256)
 #: Least cosine of a candidate; share of an item's words in order that is a match by itself, or with its answer; the answer's part.
@@ -144,32 +144,32 @@ def _emit(matrix: np.ndarray):
 
 
 def _passages(f: np.ndarray, size: int = 64) -> list[np.ndarray]:
-    return [f[i : i + size] for i in range(0, max(1, len(f) - size // 2), size)]
+    return [f[i : i + size] for i in range(0, max(1, len(f)), size)]
 
 
-def fit(docs: DataFrame, items: list[np.ndarray], fit_docs: int = FIT_DOCS, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, items: list[np.ndarray], rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """(idf by feature, weighted projection features x rank). Passage frequencies and the sketch (A^T A) R of the TF-IDF matrix A are
-    gathered by feature block from a bounded sample of documents, chosen by a hash; the items count as passages too."""
+    gathered by feature block from all documents, whose features are written once; the items count as passages too."""
     schema, seed = "block int, part int, v array<float>", 11
-    chosen = docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("turn"), "doc_id").orderBy("turn", "doc_id").limit(fit_docs)
-    sample = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("text")  # at most fit_docs ids
+    spark = docs.sparkSession
+    hashed = written(map_arrow(docs.select("text"), lambda batch: {"f": pa.array([features(tokens(t)).astype(np.uint16).tobytes() for t in batch.column(0).to_pylist()], pa.binary())}, "f binary"), "features")
 
     def frequency(batches):
         df = np.zeros(FEATURES + BLOCK)  # then the number of passages
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for p in _passages(features(tokens(text))):
+            for f in batch.column(0).to_pylist():
+                for p in _passages(np.frombuffer(f, np.uint16)):
                     df[np.unique(p)] += 1
                     df[FEATURES] += 1
         yield from _emit(df)
 
-    counted = _summed(sample.mapInArrow(frequency, schema), 1)[:, 0]
+    counted = _summed(hashed.mapInArrow(frequency, schema), 1)[:, 0]
     df, n = counted[:FEATURES], float(counted[FEATURES]) + len(items)
     for h in items:
         df[np.unique(features(h))] += 1
     idf = (np.maximum(np.log((n + 10) / (df + 5)), 0) + 0.1).astype(np.float32)
 
-    def product(parts: list[np.ndarray]) -> np.ndarray:
+    def product(parts) -> np.ndarray:
         start = np.random.default_rng(seed).normal(size=(FEATURES, rank)).astype(np.float32)
         out = np.zeros((FEATURES, rank), np.float32)
         for p in parts:
@@ -183,10 +183,10 @@ def fit(docs: DataFrame, items: list[np.ndarray], fit_docs: int = FIT_DOCS, rank
 
     def sketch(batches):
         one_blas_thread()
-        parts = [p for batch in batches for text in batch.column(0).to_pylist() for p in _passages(features(tokens(text)))]
-        yield from _emit(product(parts))
+        yield from _emit(product(p for batch in batches for f in batch.column(0).to_pylist() for p in _passages(np.frombuffer(f, np.uint16))))
 
-    total = _summed(sample.mapInArrow(sketch, schema), rank)[:FEATURES] + product([features(h) for h in items])
+    total = _summed(hashed.mapInArrow(sketch, schema), rank)[:FEATURES] + product([features(h) for h in items])
+    removed(spark, hashed)
     basis, _ = np.linalg.qr(total.astype(np.float64))
     return idf, (idf[:, None] * basis).astype(np.float32)
 
@@ -279,14 +279,14 @@ def find_leaks(h: np.ndarray, items: list, projection: np.ndarray, by: dict, voc
     return found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_ids, best_share, kept) for each row of docs(doc_id, text); benchmark has item_id and text.
 
     kept: no item was found. Null and empty texts match nothing; items without words are left out; a null item_id is reported as null;
     repeated rows are answered alike. Texts are taken whole. The benchmark is the stated query set and must fit in memory; an empty
     one keeps all, an empty documents table gives no rows; other columns are not read."""
     items = [(r["item_id"], h) for r in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").collect() if len(h := tokens(r["text"]))]
-    _, projection = fit(docs, [h for _, h in items], fit_docs) if items else (None, np.zeros((FEATURES, RANK), np.float32))
+    _, projection = fit(docs, [h for _, h in items]) if items else (None, np.zeros((FEATURES, RANK), np.float32))
     mark, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((items, projection))
 
     def search(batch):

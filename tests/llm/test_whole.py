@@ -66,3 +66,15 @@ def test_decontamination_finds_all_that_brute_force_finds(spark):
     got = {r["doc_id"]: set(r["item_ids"]) for r in decontaminate.leaks(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string"), bench).collect()}
     want = {i: slow(doc) for i, doc in enumerate(docs)}
     assert sum(map(len, want.values())) >= 90 and all(want[i] <= got[i] for i in want)
+
+
+def test_passage_counts_cover_every_document_and_tail(spark):
+    docs = [_zipf(90) + [f"tail{i % 50}"] for i in range(4500)]
+    idf, _ = decontaminate.fit(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string"), [])
+    count, n = np.zeros(decontaminate.FEATURES), 0
+    for doc in docs:
+        f = decontaminate.features(decontaminate.tokens(" ".join(doc)))
+        for p in (f[:64], f[64:]):
+            count[np.unique(p)] += 1
+            n += 1
+    assert np.allclose(idf, np.maximum(np.log((n + 10) / (count + 5)), 0) + 0.1, atol=1e-5)
