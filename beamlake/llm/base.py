@@ -68,6 +68,11 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None],
     return df.mapInArrow(run, schema)
 
 
+def carried(df: DataFrame, others: tuple[str, ...]) -> str:
+    """The end of a schema: columns that are carried through as they are."""
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in others)
+
+
 def words_of(text: str | None, lower: bool) -> list[bytes]:
     """Runs without space, tab, line feed, vertical tab, form feed or carriage return, as UTF-8; only A-Z are lowered."""
     raw = (text or "").encode("utf-8", "surrogatepass")

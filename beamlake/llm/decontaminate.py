@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, map_arrow, mixed, one_blas_thread, removed, table, written
+from beamlake.llm.base import U64, carried, map_arrow, mixed, one_blas_thread, removed, table, written
 
 #: Hashed features and latent dimensions.
 FEATURES, RANK = 1 << 15, 64
@@ -279,12 +279,12 @@ def find_leaks(h: np.ndarray, items: list, projection: np.ndarray, by: dict, voc
     return found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_ids, best_share, kept) for each row of docs(doc_id, text); benchmark has item_id and text.
+def leaks(docs: DataFrame, benchmark: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, item_ids, best_share, kept) and the columns in others for each row of docs(doc_id, text); benchmark has item_id and text.
 
     kept: no item was found. Null and empty texts match nothing; items without words are left out; a null item_id is reported as null;
     repeated rows are answered alike. Texts are taken whole. The benchmark is the stated query set and must fit in memory; an empty
-    one keeps all, an empty documents table gives no rows; other columns are not read."""
+    one keeps all, an empty documents table gives no rows; columns beside these and others are not read."""
     items = [(r["item_id"], h) for r in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").collect() if len(h := tokens(r["text"]))]
     _, projection = fit(docs, [h for _, h in items]) if items else (None, np.zeros((FEATURES, RANK), np.float32))
     mark, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((items, projection))
@@ -293,9 +293,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items, projection, by, vocabulary = _index(mark, shared)
         found = [find_leaks(tokens(t), items, projection, by, vocabulary) if by else {} for t in batch.column(1).to_pylist()]
         ids = [sorted((items[k][0] for k in f), key=lambda x: (x is not None, x)) for f in found]
-        return {"doc_id": batch.column(0), "item_ids": pa.array(ids, pa.list_(pa.int64())), "best_share": pa.array([max(f.values(), default=0.0) for f in found]), "kept": pa.array([not f for f in found], pa.bool_())}
+        return {"doc_id": batch.column(0), "item_ids": pa.array(ids, pa.list_(pa.int64())), "best_share": pa.array([max(f.values(), default=0.0) for f in found]), "kept": pa.array([not f for f in found], pa.bool_())} | {c: batch.column(2 + i) for i, c in enumerate(others)}
 
-    return map_arrow(docs.select("doc_id", "text"), search, "doc_id long, item_ids array<long>, best_share double, kept boolean")
+    return map_arrow(docs.select("doc_id", "text", *others), search, "doc_id long, item_ids array<long>, best_share double, kept boolean" + carried(docs, others))
 
 
 def op8_latent_semantic_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

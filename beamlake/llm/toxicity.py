@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, hashes, map_arrow, table, words_of
+from beamlake.llm.base import U64, carried, hashes, map_arrow, table, words_of
 
 BITS = 20
 SLOTS = 1 << BITS
@@ -89,11 +89,11 @@ def dense(mark: str, shared) -> tuple[float, np.ndarray]:
     return _models[mark]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, passes: int = PASSES) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text); labels has doc_id and toxic.
+def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, passes: int = PASSES, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) and the columns in others for each row of docs(doc_id, text); labels has doc_id and toxic.
 
     Null and empty texts get the bias' score. A null doc_id is not held out. Repeated rows are answered alike; null labels teach nothing;
-    without labels the prior of 1/20 is all. Long texts are taken whole; an empty table gives no rows; other columns are not read."""
+    without labels the prior of 1/20 is all. Long texts are taken whole; an empty table gives no rows; columns beside these and others are not read."""
     model = fit(docs, labels, rows, passes)
     mark, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
@@ -104,10 +104,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
             at = slots(text)
             at = np.unique(at[weight[at] != 0])
             out.append(float(1 / (1 + np.exp(-np.clip(weight[at].sum(dtype=np.float64) + bias, -35, 35)))))
-        return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(out, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in out], pa.int32())}
+        return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(out, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in out], pa.int32())} | {c: batch.column(3 + i) for i, c in enumerate(others)}
 
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return map_arrow(docs.select("doc_id", fold.alias("held_out"), "text"), score, "doc_id long, held_out boolean, score double, predicted int")
+    taken = docs.select("doc_id", fold.alias("held_out"), "text", *others)
+    return map_arrow(taken, score, "doc_id long, held_out boolean, score double, predicted int" + carried(docs, others))
 
 
 def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

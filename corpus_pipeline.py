@@ -23,9 +23,9 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    docs = docs.select(*COLUMNS)
-    return _only(docs, score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    """Rows that the classifier rejects go, whatever their doc_id."""
+    judged = score_toxicity(docs, table(spark, sf_dir, "labels"), others=COLUMNS[1:])
+    return judged.where("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,8 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item is found go."""
-    docs = docs.select(*COLUMNS)
-    return _only(docs, leaks(docs, table(spark, sf_dir, "benchmark")).where("kept"))
+    """Rows in which a benchmark item is found go, whatever their doc_id."""
+    return leaks(docs, table(spark, sf_dir, "benchmark"), others=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from beamlake.llm import decontaminate, lm
 from beamlake.llm.quality import quality
 
@@ -78,3 +79,22 @@ def test_passage_counts_cover_every_document_and_tail(spark):
             count[np.unique(p)] += 1
             n += 1
     assert np.allclose(idf, np.maximum(np.log((n + 10) / (count + 5)), 0) + 0.1, atol=1e-5)
+
+
+def test_pipeline_judges_rows_without_or_with_repeated_ids(spark, tmp_path):
+    """Toxic and contaminated rows go when their id is null or another row's; clean ones with the same id stay, nulls and all."""
+    item = " ".join(f"q{i}" for i in range(25))
+    rows = [(i, _text(60) + " filthword" * (i % 2)) for i in range(120)]
+    spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, bad):
+        extra = [(None, "clean0 " + _text(60)), (None, "bad0 " + _text(30) + bad), (500, "clean1 " + _text(60)), (500, "bad1 " + _text(30) + bad), (None, None)]
+        docs = spark.createDataFrame([(i, t, None, "s", 7) for i, t in rows + extra], "doc_id long, text string, lang string, source string, n_chars long")
+        out = stage(spark, docs, str(tmp_path))
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        kept = out.collect()
+        assert all((r["lang"], r["source"], r["n_chars"]) == (None, "s", 7) for r in kept)
+        return sorted((r["text"] or "none").split()[0] for r in kept if r["doc_id"] in (None, 500))
+
+    assert left(corpus_pipeline.toxicity, " filthword") == left(corpus_pipeline.decontaminated, f" {item}") == ["clean0", "clean1", "none"]
