@@ -1,8 +1,7 @@
-"""Substring dedup by level-wise doubling over words.
+"""Substring dedup by a single doubling over words.
 
 The first level takes runs of half the window's length (of each window the one that its words choose, so none is missed); runs found
-once are done. Those repeated at that length alone are extended to twice it, and so on until no candidate survives or the
-window's length is reached."""
+once are done. Those repeated at that length alone are extended once, to the whole window."""
 
 from __future__ import annotations
 
