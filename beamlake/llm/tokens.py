@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
-#: Entries of a worker's cache; on overflow it starts again from the frequent ones.
-CACHE_ENTRIES = 1_000_000
+#: Entries of a worker's cache (some 100 MB).
+CACHE_ENTRIES = 500_000
 _state: dict = {}
 
 
@@ -31,23 +32,79 @@ def tokenizer(path: str):
 
 
 def _fresh(kind: str, path: str, wanted: set[str], frequent: dict) -> dict:
+    """The worker's cache; a full one keeps its older half, since common words are met first, and what this batch wants."""
     cache = _state.get((kind, path))
-    if cache is None or len(cache) + len(wanted) > max(CACHE_ENTRIES, len(wanted)):
+    if cache is None:
         cache = _state[kind, path] = dict(frequent)
+    elif len(cache) > CACHE_ENTRIES:
+        cache = _state[kind, path] = frequent | {w: cache[w] for w in wanted if w in cache} | dict(islice(cache.items(), CACHE_ENTRIES // 2))
     return cache
 
 
+def forget(kind: str) -> None:
+    """Frees the caches of one kind; workers outlive the stage that filled them."""
+    for key in [k for k in _state if k[0] == kind]:
+        del _state[key]
+
+
+#: A word of lower-case Latin letters that NFC and lower-casing leave alone, and ASCII marks behind it without an apostrophe: two pre-tokens.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _lowered(text: str) -> str:
+    """ASCII letters lowered, which the tokenizer does too; not where a combining mark follows, with which they compose first."""
+    if text.isascii():
+        return text.lower()
+    raw = text.encode("utf-8", "surrogatepass")
+    return text if b"\xcc" in raw or b"\xcd" in raw else raw.lower().decode("utf-8", "surrogatepass")
+
+
+def _ends(path: str) -> np.ndarray:
+    """Which ids end a pre-token."""
+    if ("e", path) not in _state:
+        words = tokenizer(path).get_vocab()
+        out = np.zeros(max(words.values()) + 1, bool)
+        out[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        _state["e", path] = out
+    return _state["e", path]
+
+
+def _encode_new(cache: dict, new: list[str], path: str) -> None:
+    """Adds the ids of chunks. Plain words go as one text, whose ids are told apart by the ends of words; the rest one by one."""
+    t, plain, odd = tokenizer(path), [], []
+    for w in new:
+        m = _PLAIN.fullmatch(w)
+        if m:
+            plain.append((w, *m.groups()))
+        else:
+            odd.append(w)
+    odd += {p for _, _, p in plain if p and p not in cache}
+    words = list({c for _, c, _ in plain if c not in cache})
+    if words:
+        e = t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, "<u4")
+        raw, end = ids.tobytes(), (4 * (np.flatnonzero(_ends(path)[ids]) + 1)).tolist()
+        if len(end) == len(words):
+            cache.update(zip(words, map(raw.__getitem__, map(slice, [0, *end[:-1]], end)), strict=True))
+        else:
+            odd += words
+    for w, e in zip(odd, t.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+        cache[w] = np.array(e.ids, "<u4").tobytes()
+    for w, c, p in plain:
+        if p:
+            cache[w] = cache[c] + cache[p]
+
+
 def word_ids(texts: list[str | None], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text (null: none) by the lower-casing word tokenizer.
 
     Space and line feed are never part of one of its pre-tokens and compose with nothing, so they are safe cuts."""
     t = tokenizer(path)
-    chunks = [None if x and "<|" in x else (x or "").replace("\n", " ").split(" ") for x in texts]
+    chunks = [None if x and "<|" in x else _lowered(x or "").replace("\n", " ").split(" ") for x in texts]
     wanted = set().union(*(c for c in chunks if c))
     cache = _fresh("ids", path, wanted, {"": b""})
     if new := list(wanted.difference(cache)):
-        for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+        _encode_new(cache, new, path)
     get = cache.__getitem__
     return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for x, c in zip(texts, chunks, strict=True)]
 
