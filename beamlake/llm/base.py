@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +37,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors. The shuffle files of the job go with it."""
+    spark, path, clean = df.sparkSession, scratch(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, df: DataFrame) -> None:
@@ -55,13 +61,32 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bytes of text that a task works on at once (one longer text is taken whole).
+PIECE_TEXT = 8 << 20
+
+
+def sliced(batch: pa.RecordBatch, column: int | None, rows: int, size: int = PIECE_TEXT):
+    """The batch in slices of at most `rows` rows and, unless a single row has more, `size` bytes in the given column of texts."""
+    if column is None:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+        return
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(end, (end[at - 1] if at else 0) + size, "right"))
+        stop = min(at + rows, max(at + 1, full))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 512) -> DataFrame:
-    """function gets slices of at most `rows` rows and returns columns by name."""
+    """function gets slices of at most `rows` rows (and PIECE_TEXT bytes, if there is a column named text) and returns columns by name."""
+    text = df.columns.index("text") if "text" in df.columns else None
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = function(batch.slice(at, rows))
+            for piece in sliced(batch, text, rows):
+                out = function(piece)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out.values()], names=list(out))
 
@@ -92,24 +117,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def runs_hashed(h: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """For each length one hash of every run of so many items, by doubling: O(n log length).
-
-    A run's value is a fixed odd-weighted sum of its items' 64-bit hashes, mixed at the end."""
+def doubled(h: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+    """Sums of runs of 1, 2, 4, ... items, up to the longest: a fixed odd-weighted sum of the items' 64-bit hashes."""
     steps, length = {1: h}, 1
-    while 2 * length <= max(lengths):
+    while 2 * length <= longest:
         n = max(0, len(h) - 2 * length + 1)
         steps[2 * length] = steps[length][:n] * U64(0xD6E8FEB86659FD93 + 4 * length) + steps[length][length : length + n]
         length *= 2
-    out = []
-    for k in lengths:
-        n, total, done = max(0, len(h) - k + 1), None, 0
-        for size in sorted((s for s in steps if s & k), reverse=True):
-            part = steps[size][done : done + n]
-            total = part if total is None else total * U64(0x9E3779B97F4A7C15) + part
-            done += size
-        out.append(mixed(total))
-    return out
+    return steps
+
+
+def run_at(steps: dict[int, np.ndarray], k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the run of k items at each place, or at the given ones: the sums that make it up, mixed at the end."""
+    n, total, done = max(0, len(steps[1]) - k + 1), None, 0
+    for size in sorted((s for s in steps if s & k), reverse=True):
+        part = steps[size][done : done + n] if at is None else steps[size][at + done]
+        total = part if total is None else total * U64(0x9E3779B97F4A7C15) + part
+        done += size
+    return mixed(total)
+
+
+def runs_hashed(h: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """For each length one hash of every run of so many items, by doubling: O(n log length)."""
+    steps = doubled(h, max(lengths))
+    return [run_at(steps, k) for k in lengths]
 
 
 def least_positions(h: np.ndarray, w: int) -> np.ndarray:

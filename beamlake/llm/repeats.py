@@ -2,175 +2,222 @@
 
 A window is `window` consecutive units of one document. Its anchor is the least (rightmost of equals) of its runs of `anchor` units,
 which depends on the window alone, so equal windows have equal anchors: only anchors are gathered, a small share of all positions.
-A segment is a run of windows with one anchor. Equal segments are settled at once: all but the earliest repeat it. Only segments that
-share an anchor and differ go on to the operator's own method."""
+A segment is a run of windows with one anchor. Equal segments are one class, whose earliest segment stands for it, marked as having
+others; the rest of a class repeats it. Each class that has others, or shares its anchor with another class, goes on to the operator's
+own method, which decides every window of it.
+
+Within the tables here a row of documents is known by its doc_id and a tag of its text, so rows of one doc_id and different texts are
+different documents, in the order of their tags."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, hashes, least_positions, mixed, runs_hashed, swept, words_of, written
+from beamlake.llm.base import U64, doubled, hashes, least_positions, mixed, run_at, sliced, words_of, written
 
 _BYTE = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-#: Units that a task sorts and settles by itself before it passes segments on.
-BUFFER_UNITS = 1 << 24
+#: Units that are hashed at once (arrays of them fit a core's cache; longer texts go in overlapping stretches), and units that a task
+#: sorts and classes by itself before it passes segments on.
+STRETCH_UNITS, BUFFER_UNITS = 1 << 16, 1 << 23
+#: A place is tag (22 bits), start (32), further windows (8) and whether the class has others (1).
+_TAG_BITS, _SPAN = 22, 256
+
+
+def byte_hashes(raw: bytes) -> np.ndarray:
+    return _BYTE[np.frombuffer(raw, np.uint8)]
 
 
 def byte_units(text: str | None) -> np.ndarray:
-    return _BYTE[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
+    return byte_hashes((text or "").encode("utf-8", "surrogatepass"))
 
 
 def word_units(text: str | None) -> np.ndarray:
     return hashes(words_of(text, lower=False))
 
 
-def segments(docs: list, units: list[np.ndarray], window: int, anchor: int) -> np.ndarray:
-    """Columns (anchor, segment, doc, first window start, last window start) of several documents."""
-    use = [i for i, u in enumerate(units) if len(u) >= window and docs[i] is not None]
-    if not use:
-        return np.empty((5, 0), np.int64)
-    size = np.array([len(units[i]) for i in use])
+def text_tag() -> Column:
+    return F.xxhash64("text").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int").alias("tag")
+
+
+def segments(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, units: list[np.ndarray], window: int, anchor: int) -> np.ndarray:
+    """Columns (anchor, segment, doc, place) of stretches of documents; starts are the stretches' places in their documents."""
+    size = np.array([len(u) for u in units])
     end = np.cumsum(size)
     begin = end - size
-    runs, whole = runs_hashed(np.concatenate([units[i] for i in use]), anchor, window)
+    steps = doubled(np.concatenate(units), window)
+    runs = run_at(steps, anchor)
     at = least_positions(runs, window - anchor + 1)
-    doc = np.repeat(np.arange(len(use)), size)[: len(at)]
+    doc = np.repeat(np.arange(len(units)), size)[: len(at)]
     start = np.flatnonzero(np.arange(len(at)) + window <= end[doc])
+    if not len(start):
+        return np.empty((4, 0), np.int64)
     at, doc = at[start], doc[start]
     edge = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
+    if window - anchor >= _SPAN:
+        i = np.arange(len(start))
+        edge |= (i - np.maximum.accumulate(np.where(edge, i, 0))) % _SPAN == 0
     first = start[edge]
     last = start[np.append(np.flatnonzero(edge)[1:] - 1, len(start) - 1)]
-    place = at[edge]
-    key = mixed(whole[first] + mixed(whole[last] + mixed((place - first).astype(U64) << U64(32) | (last - first).astype(U64))))
-    of = doc[edge]
-    return np.stack([runs[place].view(np.int64), key.view(np.int64), np.array([docs[i] for i in use], np.int64)[of], first - begin[of], last - begin[of]])
+    place, of = at[edge], doc[edge]
+    key = mixed(run_at(steps, window, first) + mixed(run_at(steps, window, last) + mixed((place - first).astype(U64) << U64(32) | (last - first).astype(U64))))
+    where = tags[of] << 41 | (first - begin[of] + starts[of]) << 9 | (last - first) << 1
+    return np.stack([runs[place].view(np.int64), key.view(np.int64), docs[of], where])
 
 
-def _spans(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(doc: np.ndarray, tag: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     """Touching runs of window starts joined, by document."""
-    order = np.lexsort((a, doc))
-    doc, a, b = doc[order], a[order], b[order]
-    edge = np.concatenate([[True], (doc[1:] != doc[:-1]) | (a[1:] > b[:-1] + 1)]) if len(doc) else np.empty(0, bool)
+    order = np.lexsort((a, tag, doc))
+    doc, tag, a, b = doc[order], tag[order], a[order], b[order]
+    edge = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (a[1:] > b[:-1] + 1)]) if len(doc) else np.empty(0, bool)
     at = np.flatnonzero(edge)
-    return doc[at], a[at], np.maximum.reduceat(b, at) if len(at) else b
+    return doc[at], tag[at], a[at], np.maximum.reduceat(b, at) if len(at) else b
 
 
-_FOUND = "kind int, anchor long, segment long, doc_id long, a int, b int"
+def _of_place(where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tag, first window, last window)."""
+    first = where >> 9 & 0xFFFFFFFF
+    return where >> 41, first, first + (where >> 1 & 0xFF)
 
 
-def _rows(kind: int, anchor, segment, doc, a, b) -> pa.RecordBatch:
-    n = len(doc)
-    pick = lambda x: pa.array(x, pa.int64()) if x is not None else pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pick(anchor), pick(segment), pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["kind", "anchor", "segment", "doc_id", "a", "b"])
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
 
-def _settled(x: np.ndarray):
-    """Batches: repeats of equal segments as spans (kind 0), the earliest of each (kind 1)."""
-    x = x[:, np.lexsort((x[3], x[2], x[1], x[0]))]
+def _classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by (anchor, segment, doc, place): the earliest of each class, marked if others follow, and the others."""
     new = np.concatenate([[True], (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])])
-    lead = np.maximum.accumulate(np.where(new, np.arange(x.shape[1]), 0))
-    again = ~new & ((x[2] != x[2, lead]) | (x[3] != x[3, lead]))
-    if again.any():
-        yield _rows(0, None, None, *_spans(*x[2:, again]))
-    yield _rows(1, *x[:, new])
+    lead = np.flatnonzero(new)
+    of = lead[np.cumsum(new) - 1]
+    again = (x[2] != x[2, of]) | (x[3] >> 1 != x[3, of] >> 1)
+    head = x[:, lead]
+    head[3] |= np.maximum.reduceat(again | (x[3] & 1).astype(bool), lead)
+    return head, x[:, again]
+
+
+def _passed(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One task's segments: classes to pass on; repeats as spans, told by a negative place and dealt anywhere."""
+    if not x.shape[1]:
+        return
+    head, again = _classes(x[:, np.lexsort((x[3], x[2], x[1], x[0]))])
+    yield _batch(anchor=head[0], segment=head[1], doc_id=head[2], place=head[3])
+    if again.shape[1]:
+        doc, tag, a, b = _spans(again[2], *_of_place(again[3]))
+        yield _batch(anchor=mixed(doc.astype(U64) + a.astype(U64)).view(np.int64), segment=b, doc_id=doc, place=~(tag << 41 | a << 9))
+
+
+_ROW = "anchor long, segment long, doc_id long, place long"
+_FOUND = "kind int, anchor long, doc_id long, tag int, a int, b int"
+
+
+def _found(kind, anchor, doc, tag, a, b) -> pa.RecordBatch:
+    return _batch(kind=kind.astype(np.int32), anchor=anchor, doc_id=doc, tag=tag.astype(np.int32), a=a.astype(np.int32), b=b.astype(np.int32))
+
+
+def settle(batches) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (anchor, segment, doc_id, place): spans (kind 0), classes to decide, with others (kind 2) or without (kind 1).
+
+    One class is kept from batch to batch: a hot anchor needs no more memory than any other."""
+    held, opened = np.empty((4, 0), np.int64), False
+    for batch in _and_end(batches):
+        x = held
+        if batch is not None:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            span = x[3] < 0
+            if span.any():
+                tag, a, _ = _of_place(~x[3, span])
+                yield _found(np.zeros(len(a)), x[0, span], x[2, span], tag, a, x[1, span])
+            x = np.concatenate([held, x[:, ~span]], axis=1)
+        if not x.shape[1]:
+            continue
+        head, again = _classes(x)
+        if again.shape[1]:
+            doc, tag, a, b = _spans(again[2], *_of_place(again[3]))
+            yield _found(np.zeros(len(a)), np.zeros(len(a), np.int64), doc, tag, a, b)
+        new = np.concatenate([[True], head[0, 1:] != head[0, :-1]])
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        several = np.bincount(group) > 1
+        several[0] |= opened
+        keep = (several | np.maximum.reduceat(head[3] & 1, at).astype(bool))[group]
+        if batch is not None:
+            held, opened = head[:, -1:], bool(several[-1])
+            keep[-1] = False
+        if keep.any():
+            yield _found(1 + (head[3, keep] & 1), head[0, keep], head[2, keep], *_of_place(head[3, keep]))
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 def repeated(docs: DataFrame, units: Callable[[str | None], np.ndarray], window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
-    """(spans, open): spans(doc_id, a, b) are window starts known to repeat earlier windows; open(anchor, doc_id, a, b) has, for
-    each anchor with several different segments, the earliest of each. Rows of null doc_id take no part."""
+    """(spans, open): spans(doc_id, tag, a, b) are window starts known to repeat earlier windows; open(anchor, doc_id, tag, a, b,
+    others) has the earliest segment of each class that has others or shares its anchor. Rows of null doc_id take no part."""
 
     def gather(batches):
-        held, size = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                u = [units(t) for t in piece.column(1).to_pylist()]
-                held.append(segments(piece.column(0).to_pylist(), u, window, anchor))
-                size += sum(map(len, u))
-                if size >= BUFFER_UNITS:
-                    yield from _settled(np.concatenate(held, axis=1))
-                    held, size = [], 0
-        if held and sum(x.shape[1] for x in held):
-            yield from _settled(np.concatenate(held, axis=1))
-
-    def settle(batches):
-        """Rows sorted by (anchor, segment, doc_id, a); keeps no more than one row between batches."""
-        before, lead, waiting = (None, None), (None, None), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
-            follows = np.concatenate([[before[0] == x[0, 0]], x[0, 1:] == x[0, :-1]])  # same anchor as the row before
-            same = follows & np.concatenate([[before[1] == x[1, 0]], x[1, 1:] == x[1, :-1]])
-            at = np.maximum.accumulate(np.where(~same, np.arange(x.shape[1]), -1))
-            lead_doc, lead_a = (np.where(at >= 0, x[i, at], lead[i - 2] if lead[0] is not None else 0) for i in (2, 3))
-            again = same & ((x[2] != lead_doc) | (x[3] != lead_a))
-            if again.any():
-                yield _rows(0, None, None, *_spans(*x[2:, again]))
-            head = ~same
-            heads, tied = x[:, head], follows[head]  # a head that follows its anchor's row differs from the head before it
-            if waiting is not None and len(tied):
-                if tied[0]:
-                    yield _rows(1, *waiting)
-                waiting = None
-            if len(tied):
-                keep = tied.copy()
-                keep[:-1] |= tied[1:]
-                if keep.any():
-                    yield _rows(1, *heads[:, keep])
-                if not tied[-1]:
-                    waiting = heads[:, -1:]
-                lead = (heads[2, -1], heads[3, -1])
-            before = (x[0, -1], x[1, -1])
-
-    mapped = written(docs.select("doc_id", "text").mapInArrow(gather, _FOUND), "segments")
-    passed = mapped.where("kind = 1").select("anchor", "segment", "doc_id", "a", "b")
-    done = written(passed.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "a").mapInArrow(settle, _FOUND), "settled")
-    swept(docs.sparkSession)
-    spans = mapped.where("kind = 0").union(done.where("kind = 0")).select("doc_id", "a", "b")
-    return spans, done.where("kind = 1").select("anchor", "doc_id", "a", "b")
+        held, waiting, sizes = [], [], [0, 0]
 
+        def hash_waiting():
+            if waiting:
+                doc, tag, start, u = zip(*waiting, strict=True)
+                held.append(segments(np.array(doc, np.int64), np.array(tag, np.int64), np.array(start, np.int64), list(u), window, anchor))
+            waiting.clear()
+            sizes[0] = 0
 
-def by_document(spans: DataFrame) -> DataFrame:
-    """(doc_id, spans): the spans of each document, at most as many as it has units."""
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+        for batch in batches:
+            for piece in sliced(batch, 1, 256):
+                for doc, text, tag in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+                    u = units(text)
+                    for start in range(0, len(u) - window + 1, STRETCH_UNITS):
+                        part = u[start : start + STRETCH_UNITS + window - 1]
+                        waiting.append((doc, tag, start, part))
+                        sizes[0] += len(part)
+                        sizes[1] += len(part)
+                        if sizes[0] >= STRETCH_UNITS:
+                            hash_waiting()
+                if sizes[1] >= BUFFER_UNITS:
+                    hash_waiting()
+                    yield from _passed(np.concatenate(held, axis=1))
+                    held.clear()
+                    sizes[1] = 0
+        hash_waiting()
+        if held:
+            yield from _passed(np.concatenate(held, axis=1))
+
+    long_enough = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window)).select("doc_id", "text", text_tag())
+    rows = long_enough.mapInArrow(gather, _ROW).repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "place")
+    done = written(rows.mapInArrow(settle, _FOUND), "settled")
+    return done.where("kind = 0").select("doc_id", "tag", "a", "b"), done.where("kind > 0").select("anchor", "doc_id", "tag", "a", "b", (F.col("kind") == 2).alias("others"))
+
+
+def with_text(docs: DataFrame, open_: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, tag, text, found): each row of docs that has open segments, with structs of the columns (equal rows repeat them)."""
+    asked = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    texts = docs.where("doc_id is not null").select("doc_id", text_tag(), "text")
+    return texts.join(asked, ["doc_id", "tag"])
 
 
-def covered(n: int, spans: list | None, window: int) -> np.ndarray:
-    """Which of n units are in a window that starts in one of the spans."""
-    step = np.zeros(n + 1, np.int64)
-    for s in spans or ():
-        step[s["a"]] += 1
-        step[s["b"] + window] -= 1
-    return np.cumsum(step[:-1]) > 0
+def by_document(spans: DataFrame) -> DataFrame:
+    """(doc_id, tag, spans): the spans of each document, at most as many as it has units."""
+    return spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def repeated_windows(docs: DataFrame, open_: DataFrame, units: Callable[[str | None], np.ndarray], window: int) -> DataFrame:
-    """spans(doc_id, a, b) of the windows of the open segments that have an earlier equal one, by counting whole windows.
+def span_arrays(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """Starts and ends of each row's spans; None for no spans."""
+    end, flat = column.offsets.to_numpy(), column.values
+    a, b = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    for i in range(len(column)):
+        yield None if end[i] == end[i + 1] else (a[end[i] : end[i + 1]], b[end[i] : end[i + 1]])
 
-    Windows are compared by anchor and a 64-bit hash of their own; the earliest of each is a pre-aggregated minimum."""
 
-    def cut(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                out: list[list] = [[], [], [], []]
-                for doc, text, found in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
-                    whole = runs_hashed(units(text), window)[0].view(np.int64)
-                    for s in found:
-                        k = s["b"] - s["a"] + 1
-                        for column, v in zip(out, (np.full(k, s["anchor"]), whole[s["a"] : s["b"] + 1], np.full(k, doc), np.arange(s["a"], s["b"] + 1)), strict=True):
-                            column.append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["anchor", "whole", "doc_id", "a"])
-
-    asked = open_.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "a", "b")).alias("found"))
-    rows = written(docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", "text", "found").mapInArrow(cut, "anchor long, whole long, doc_id long, a int"), "windows")
-    swept(docs.sparkSession)
-    first = rows.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first, ["anchor", "whole"]).where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", "a", F.col("a").alias("b"))
+def covered(n: int, spans: tuple[np.ndarray, np.ndarray] | None, window: int) -> np.ndarray:
+    """Which of n units are in a window that starts in one of the spans."""
+    if spans is None:
+        return np.zeros(n, bool)
+    step = np.bincount(spans[0], minlength=n + 1)[: n + 1] - np.bincount(np.minimum(spans[1] + window, n), minlength=n + 1)[: n + 1]
+    return np.cumsum(step[:-1]) > 0

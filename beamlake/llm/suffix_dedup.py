@@ -13,30 +13,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import map_arrow, removed, swept, table, written
-from beamlake.llm.repeats import _spans, by_document, byte_units, covered, repeated, repeated_windows
+from beamlake.llm.base import U64, doubled, map_arrow, mixed, removed, run_at, table, written
+from beamlake.llm.repeats import _spans, by_document, byte_hashes, byte_units, covered, repeated, span_arrays, text_tag, with_text
 
-LENGTH, ANCHOR = 100, 48
-#: Bytes of a block, and segments of one anchor beyond which its windows are counted by hash instead (exactly, and spread out).
-BLOCK_BYTES, ANCHOR_SEGMENTS = 1 << 19, 4096
+LENGTH, ANCHOR = 100, 32
+#: Bytes of a block, and segments of an anchor beyond which it is split by the run of twice its length.
+BLOCK_BYTES, CROWDED = 1 << 19, 4096
 _SEPARATOR, _END = 0xFF, 0xFE  # never in UTF-8
 
 
 def bounded_suffix_order(text: np.ndarray, least: int) -> np.ndarray:
-    """Starts of the cyclic suffixes, ordered by at least their first `least` bytes; equal ones stand together."""
+    """Starts of the cyclic suffixes, ordered by at least their first `least` bytes; equal ones stand together.
+
+    Doubling: places that are not told apart by their first `length` bytes are ordered by the ranks of the next `length`."""
     n = len(text)
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | np.roll(text, -i).astype(np.uint64)
-    length = 8
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    rank, length = np.empty(n, np.int64), 8
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])).astype(np.uint64)
-        if length >= least or rank[order[-1]] == n - 1:
+        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank[order] = first  # places before: stays right for all that are told apart already
+        open_ = ~(new & np.append(new[1:], True))
+        if length >= least or not open_.any():
             return order
-        key = rank << np.uint64(32) | np.roll(rank, -length)
+        at = np.flatnonzero(open_)
+        # the group in the high bits, the rank of what follows in the low ones
+        sub = first[at] << 32 | rank[(order[at] + length) % n]
+        by = np.argsort(sub)
+        order[at], sub = order[at][by], sub[by]
+        new[at] = np.concatenate([[True], sub[1:] != sub[:-1]])
         length *= 2
 
 
@@ -71,8 +80,9 @@ def short_prefixes(text: np.ndarray, order: np.ndarray, threshold: int) -> np.nd
     return prefix[:n]
 
 
-def later_windows(payload: list[bytes], doc: np.ndarray, a: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows in the segments (bytes from start a on) that have an earlier equal one among them."""
+def window_order(payload: list[bytes], rank: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, offset, repeats) of every window in the segments, repeats: an equal one stands in a segment of less rank, or earlier
+    in its own. Windows are told apart by the intervals of the transform alone."""
     parts = [np.frombuffer(p, np.uint8) for p in payload]
     size = np.array([len(p) + 1 for p in parts])
     begin = np.cumsum(size) - size
@@ -86,63 +96,81 @@ def later_windows(payload: list[bytes], doc: np.ndarray, a: np.ndarray, threshol
     offset = order - begin[of]
     real = (offset + threshold <= size[of] - 1) & (order < len(text) - 1)
     group, of, offset = group[real], of[real], offset[real]
-    docs, starts = doc[of], a[of] + offset
-    by = np.lexsort((starts, docs, group))
-    group, docs, starts = group[by], docs[by], starts[by]
-    new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.empty(0, bool)
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.empty(0, np.int64)
-    later = (docs != docs[lead]) | (starts != starts[lead])
-    return docs[later], starts[later]
+    by = np.lexsort((offset, rank[of], group))
+    group, of, offset = group[by], of[by], offset[by]
+    lead = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.empty(0, bool)
+    return of, offset, ~lead
 
 
 def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """spans(doc_id, a, b): starts a..b (in bytes) of windows that also start earlier, by smaller doc_id or place."""
+    """spans(doc_id, tag, a, b): starts a..b (in bytes) of windows that also start earlier, by smaller doc_id or place.
+
+    Segments meet by their anchor, those of crowded anchors by the anchor's continuation to twice its length (for each window one run,
+    which depends on the window alone). Blocks of them are decided by interval expansion; of a group that goes on beyond a block, the
+    windows met so far go on with it, each once."""
     spans, open_ = repeated(docs, byte_units, length, anchor)
-    sizes = open_.groupBy("anchor").agg(F.count("*").alias("n"))
-    open_ = written(open_.join(sizes, "anchor"), "open")
+    crowd = written(open_.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor", F.lit(True).alias("crowded")), "crowded")
+    asked = open_.join(crowd, "anchor", "left").select("anchor", "doc_id", "tag", "a", "b", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    longer = min(length, 2 * anchor)
 
     def cut(batch):
-        out: list[list] = [[], [], [], []]
-        for doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        out: list[list] = [[], [], [], [], []]
+        for doc, tag, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for s in found:
-                for column, v in zip(out, (s["anchor"], doc, s["a"], raw[s["a"] : s["b"] + length]), strict=True):
-                    column.append(v)
-        return {c: pa.array(v, k) for c, v, k in zip(("anchor", "doc_id", "a", "payload"), out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)}
+                a, b, parts = s["a"], s["b"], [(s["anchor"], s["a"], s["b"])]
+                if s["crowded"]:
+                    steps = doubled(byte_hashes(raw[a : b + length]), longer)
+                    near = run_at(steps, anchor)[b - a : b - a + length - anchor + 1]
+                    run = np.minimum(b - a + len(near) - 1 - int(near[::-1].argmin()), np.arange(b - a + 1) + length - longer)
+                    key = mixed(run_at(steps, longer, run) + U64(s["anchor"] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+                    edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+                    parts = [(key[lo], a + lo, a + hi - 1) for lo, hi in zip(edge, [*edge[1:], len(run)], strict=True)]
+                for k, lo, hi in parts:
+                    for column, v in zip(out, (k, doc, tag, lo, raw[lo : hi + length]), strict=True):
+                        column.append(v)
+        return {c: pa.array(v, k) for c, v, k in zip(("key", "doc_id", "tag", "a", "payload"), out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)}
 
     def expand(batches):
-        """Whole anchors, in blocks of at least BLOCK_BYTES."""
-        held: list[list] = [[], [], [], []]
-        size = 0
-
-        def block(upto: int):
-            doc, start = later_windows(held[3][:upto], np.array(held[1][:upto], np.int64), np.array(held[2][:upto], np.int64), length)
-            doc, a, b = _spans(doc, start, start)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "a", "b"])
+        """Whole keys, in blocks of at least BLOCK_BYTES; rows are sorted by key, doc_id, tag and a."""
+        held: list[tuple] = []
+        size, last = 0, None
+
+        def decided(goes_on):
+            of, offset, later = window_order([r[4] for r in held], np.arange(len(held)), length)
+            doc, tag, a = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3))
+            gone = _spans(doc[of[later]], tag[of[later]], a[of[later]] + offset[later], a[of[later]] + offset[later])
+            rest = []
+            if goes_on is not None:  # first windows of the key that goes on, as runs of their segments
+                mine = ~later & np.array([r[0] == goes_on for r in held])[of]
+                of, offset = of[mine], offset[mine]
+                by = np.lexsort((offset, of))
+                of, offset = of[by], offset[by]
+                edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)])[: len(of)])
+                for lo, hi in zip(edge, np.append(edge[1:], len(of)), strict=False):
+                    k, doc_, tag_, at, raw = held[of[lo]]
+                    rest.append((k, doc_, tag_, at + int(offset[lo]), raw[offset[lo] : offset[hi - 1] + length]))
+            return pa.RecordBatch.from_arrays([pa.array(gone[0], pa.int64()), *(pa.array(x, pa.int32()) for x in gone[1:])], names=["doc_id", "tag", "a", "b"]), rest
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if size >= BLOCK_BYTES and row[0] != held[0][-1]:
-                    yield block(len(held[0]))
-                    held, size = [[], [], [], []], 0
-                for column, v in zip(held, row, strict=True):
-                    column.append(v)
-                size += len(row[3])
-        if held[0]:
-            yield block(len(held[0]))
-
-    asked = open_.where(F.col("n") <= ANCHOR_SEGMENTS).groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "a", "b")).alias("found"))
-    cuts = map_arrow(docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", "text", "found"), cut, "anchor long, doc_id long, a int, payload binary")
-    expanded = cuts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(expand, "doc_id long, a int, b int")
-    crowded = open_.where(F.col("n") > ANCHOR_SEGMENTS)
-    found = spans.union(expanded)
-    if not crowded.isEmpty():
-        found = found.union(repeated_windows(docs, crowded.select("anchor", "doc_id", "a", "b"), byte_units, length))
-    found = written(found, "byte-spans")
-    for used in (spans, open_):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if row[:4] == last:  # of a repeated row of documents
+                    continue
+                last = row[:4]
+                if size >= BLOCK_BYTES:
+                    found, held = decided(row[0])
+                    yield found
+                    size = 0  # what is carried does not count, so that each block takes as much that is new
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield decided(None)[0]
+
+    cuts = map_arrow(with_text(docs, asked, "anchor", "a", "b", "crowded"), cut, "key long, doc_id long, tag int, a int, payload binary", rows=128)
+    expanded = cuts.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "a").mapInArrow(expand, "doc_id long, tag int, a int, b int")
+    found = written(spans.union(expanded), "byte-spans")
+    for used in (spans, crowd):
         removed(docs.sparkSession, used)
-    del asked, crowded, cuts, expanded, open_, sizes, spans, used
-    swept(docs.sparkSession)
     return found
 
 
@@ -150,14 +178,15 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_character
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) and the columns named by others, for each row of docs(doc_id, text).
 
     whole_characters: a removed run shrinks to whole UTF-8 characters, so that the rest is text. Null and empty texts have no bytes.
-    Rows of a null doc_id are compared with nothing and keep all. Repeated rows of one doc_id are answered alike, as one. Texts of any
-    length are taken whole; an empty table gives no rows; no other columns are read."""
+    Rows of a null doc_id are compared with nothing and keep all. Repeated rows are answered alike, as one; rows of one doc_id and
+    different texts are different documents, in an order that their texts fix. Texts of any length are taken whole; an empty table
+    gives no rows; no other columns are read."""
 
     def cut(batch):
         n, gone, runs, sha, kept = [], [], [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(batch.column(1).to_pylist(), span_arrays(batch.column(2)), strict=True):
             raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            if spans:
+            if spans is not None:
                 out = covered(len(raw), spans, length)
                 if whole_characters:  # a character goes if all of its bytes are covered
                     head = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -180,8 +209,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, whole_character
     spans = by_document(repeated_byte_spans(docs, length))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     carried = "".join(f"{c} {kinds[c]}, " for c in others)
-    given = docs.select("doc_id", "text", *[F.col(c).alias(f"other_{i}") for i, c in enumerate(others)])
-    asked = given.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *[f"other_{i}" for i in range(len(others))])
+    given = docs.select("doc_id", text_tag(), "text", *[F.col(c).alias(f"other_{i}") for i, c in enumerate(others)])
+    asked = given.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans", *[f"other_{i}" for i in range(len(others))])
     return map_arrow(asked, cut, f"doc_id long, {carried}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", rows=256)
 
 
