@@ -117,6 +117,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Bytes hashed at once (their arrays fit a core's cache), and powers of an odd number and of its inverse.
+HASH_PIECE, _ODD = 1 << 15, 0x9E3779B97F4A7C15
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > len(_POWERS[0]):
+        return tuple(np.cumprod(np.append(U64(1), np.full(n - 1, x, U64))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    return _POWERS[0][:n], _POWERS[1]
+
+
+_POWERS = tuple(np.cumprod(np.append(U64(1), np.full(HASH_PIECE - 1, x, U64))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
+def stretches(raw: bytes, marks: bytes, size: int = HASH_PIECE):
+    """(start, end) of stretches of at most `size` bytes that end behind one of the marks, unless there is none so near."""
+    at = 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > size:
+            end = max(raw.rfind(marks[i : i + 1], at, at + size) for i in range(len(marks))) + 1
+            if end <= at:
+                found = [x for i in range(len(marks)) if (x := raw.find(marks[i : i + 1], at)) >= 0]
+                end = min(found) + 1 if found else len(raw)
+        yield at, end
+        at = end
+
+
+def stretch_hashes(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Unmixed polynomial hashes of the bytes from each start to its end, by running sums: the same wherever they stand."""
+    up, down = powers(len(piece))
+    total = np.concatenate([[U64(0)], np.cumsum(values[piece] * up)])
+    return (total[ends] - total[starts]) * down[starts]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WORD_VALUES = mixed(np.arange(1, 257, dtype=U64) * U64(0xE7037ED1A0B428DB))
+
+
+def text_hashes(texts: list[str | None], lower: bool) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its words (as words_of() has them), a batch at a time."""
+    raws = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+    raw = b"\n".join(raws)
+    raw = raw.lower() if lower else raw
+    every, places, hashed = np.frombuffer(raw, np.uint8), [np.empty(0, np.int64)], [np.empty(0, U64)]
+    for at, end in stretches(raw, b" \n"):
+        piece = every[at:end]
+        solid = np.concatenate([[False], ~_SPACE[piece], [False]])
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        places.append(starts + at)
+        hashed.append(mixed(stretch_hashes(piece, starts, ends, _WORD_VALUES)))
+    places, hashed = np.concatenate(places), np.concatenate(hashed)
+    cut = np.searchsorted(places, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+    return [hashed[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
 def doubled(h: np.ndarray, longest: int) -> dict[int, np.ndarray]:
     """Sums of runs of 1, 2, 4, ... items, up to the longest: a fixed odd-weighted sum of the items' 64-bit hashes."""
     steps, length = {1: h}, 1

@@ -1,7 +1,7 @@
 """Token-ID / binary output by Re-Pair grammar compression.
 
 Shards of whole documents in ascending doc_id order. Per shard, frequent pairs of neighbouring ids are replaced by nonterminals,
-round after round; the rules, the rounds' limits and the expansion length of every rule are stored, so a range of ids is decoded
+round after round until none is left; the rules, the rounds' limits and the expansion length of every rule are stored, so a range of ids is decoded
 without the rest of its shard. A shard is a row of a Parquet table: Spark's committer makes a lost task's shard appear once or not
 at all, and any store that Spark can write will do."""
 
@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamlake.llm.base import scratch, table
@@ -20,54 +20,69 @@ from beamlake.llm.tokens import tokenizer_path, word_ids
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Ids of a shard (a longer document is a shard of its own), the least count of a pair worth a rule, and the share of ids that a
-#: round must save for another round to follow.
-SHARD_IDS, MIN_COUNT, LEAST_GAIN = 1 << 20, 6, 0.02
-SHARD = "part int, seq int, n_docs long, n_ids long, base long, doc_ids binary, doc_lengths binary, symbols binary, rules binary, rounds binary, expansion binary"
-_BITS = 20
+#: Most ids of a shard (a longer document is a shard of its own), and the least count of a pair worth a rule.
+SHARD_IDS, MIN_COUNT = 1 << 20, 6
+SHARD = "part int, seq int, before long, n_docs long, n_ids long, base long, doc_ids binary, doc_lengths binary, symbols binary, rules binary, rounds binary, expansion binary"
+_SPREAD = np.int64(-7046029254386353131)
 
 
-def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules of two symbols each, first rule of each round and the number of rules).
 
-    A round counts all neighbouring pairs, takes those found min_count times or more, resolves overlaps in favour of the more frequent
-    pair (the left one of equals) and replaces them at once."""
-    x, rules, rounds, n_rules = ids.astype(np.int64), [np.empty((0, 2), np.int64)], [0], 0
-    while len(x) > 1:
-        key = x[:-1] << 32 | x[1:]
-        slot = ((key * np.int64(-7046029254386353131)) >> (64 - _BITS)) & ((1 << _BITS) - 1)
-        often = np.bincount(slot, minlength=1 << _BITS) >= min_count
-        keys = np.sort(key[often[slot]])
-        if not len(keys):
-            break
+    A round counts neighbouring pairs, takes those found min_count times or more, resolves overlaps in favour of the more frequent pair
+    (every other one along a chain of equals) and replaces them at once; rounds go on until no pair is that frequent. After the first
+    round only pairs that are new or lost an overlap can qualify, so only their places are counted."""
+    n = len(ids)
+    x, after, before = np.append(ids.astype(np.int64), -1), np.arange(1, n + 2), np.arange(-1, n)
+    alive, weight, rules, rounds, n_rules = np.ones(n + 1, bool), np.zeros(n + 1, np.int64), [np.empty((0, 2), np.int64)], [0], 0
+    alive[n], at = False, np.arange(max(0, n - 1))
+    while len(at) >= min_count:
+        key = x[at] << 32 | x[after[at]]
+        keys = np.sort(key)
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         count = np.diff(np.append(edge, len(keys)))
-        keys, count = keys[edge][count >= min_count], count[count >= min_count]
+        keys, count = keys[edge[count >= min_count]], count[count >= min_count]
         if not len(keys):
             break
-        order = np.argsort(count, kind="stable")  # of pairs that share a slot the most frequent stays; the rest wait for the next round
-        keys, count = keys[order], count[order]
-        at = ((keys * np.int64(-7046029254386353131)) >> (64 - _BITS)) & ((1 << _BITS) - 1)
-        key_of, index_of = np.full(1 << _BITS, -1, np.int64), np.zeros(1 << _BITS, np.int64)
-        key_of[at], index_of[at] = keys, np.arange(len(keys))
-        hit, which = key_of[slot] == key, index_of[slot]
-        weight = np.where(hit, count[which], 0)
-        left, right = np.concatenate([[0], weight[:-1]]), np.concatenate([weight[1:], [0]])
-        take = hit & (weight > left) & (weight >= right)
-        used = np.bincount(which[take], minlength=len(keys)) >= min_count
-        take &= used[which]
-        where = np.flatnonzero(take)
-        if not len(where):
+        # a small table of the frequent pairs: of those that share a slot the most frequent stays, the rest wait for the next round
+        order = np.argsort(count, kind="stable")
+        keys, count, bits = keys[order], count[order], max(8, len(keys).bit_length() + 2)
+        place = (keys * _SPREAD).view(np.uint64) >> np.uint64(64 - bits)
+        table, crowded = np.full(1 << bits, -1, np.int32), np.bincount(place.view(np.int64), minlength=1 << bits) > 1
+        table[place] = np.arange(len(keys), dtype=np.int32)
+        slot = ((key * _SPREAD).view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+        which = table[slot]
+        hit = keys[which] == key  # keys[-1] holds its slot, so an empty one (-1) is no hit
+        held = at[crowded[slot] & ~hit]
+        at, which = at[hit], which[hit]
+        w = count[which]
+        weight[at] = w
+        best = (w >= weight[before[at]]) & (w >= weight[after[at]])
+        weight[at] = 0
+        here = at[best]
+        start = np.concatenate([[True], before[here[1:]] != here[:-1]]) if len(here) else np.empty(0, bool)
+        i = np.arange(len(here))
+        best[best] = (i - np.maximum.accumulate(np.where(start, i, 0))) % 2 == 0
+        used = np.bincount(which[best], minlength=len(keys)) >= min_count
+        best &= used[which]
+        here = at[best]
+        if not len(here):
             break
         number = np.cumsum(used) - 1
         rules.append(np.stack([keys[used] >> 32, keys[used] & 0xFFFFFFFF], axis=1))
-        x[where] = base + n_rules + number[which[where]]
-        x = np.delete(x, where + 1)
+        second = after[here]
+        third = after[second]
+        x[here], after[here], alive[second] = base + n_rules + number[which[best]], third, False
+        before[third] = here
         n_rules += int(used.sum())
         rounds.append(n_rules)
-        if len(where) < least_gain * (len(x) + len(where)):
-            break
-    return x, np.concatenate(rules), np.array(rounds, np.int64)
+        again = np.zeros(n + 1, bool)
+        again[here] = again[before[here]] = again[at[~best]] = again[held] = True
+        again &= alive
+        again[n] = False
+        at = np.flatnonzero(again)
+        at = at[after[at] < n]
+    return x[:n][alive[:n]], np.concatenate(rules), np.array(rounds, np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, rounds: np.ndarray, base: int) -> np.ndarray:
@@ -78,26 +93,30 @@ def expansion_lengths(rules: np.ndarray, rounds: np.ndarray, base: int) -> np.nd
     return out
 
 
+def _runs(table: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of the table one after another."""
+    end = np.cumsum(length)
+    return table[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - length), length)]
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, rounds: np.ndarray, base: int) -> np.ndarray:
-    """The ids of the symbols; rounds are undone from the last."""
+    """The ids of the symbols: every rule is written out once, round after round, then the symbols' runs are copied."""
+    length = np.append(np.ones(base, np.int64), expansion_lengths(rules, rounds, base))
+    start = np.cumsum(length) - length
+    table = np.empty(int(length.sum()), np.int64)
+    table[:base] = np.arange(base)
+    for lo, hi in zip(rounds[:-1], rounds[1:], strict=True):
+        pair = rules[lo:hi].ravel()
+        part = _runs(table, start[pair], length[pair])
+        table[start[base + lo] : start[base + lo] + len(part)] = part
     x = symbols.astype(np.int64)
-    for lo in rounds[:-1][::-1]:
-        pair = x >= base + lo
-        if not pair.any():
-            continue
-        size = 1 + pair
-        start = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[start] = x
-        out[start[pair]], out[start[pair] + 1] = rules[x[pair] - base, 0], rules[x[pair] - base, 1]
-        x = out
-    return x
-
-
-def shard_row(part: int, seq: int, doc_ids: list, encoded: list[bytes], base: int) -> list:
+    return _runs(table, start[x], length[x])
+
+
+def shard_row(part: int, seq: int, before: int, doc_ids: list, encoded: list[bytes], base: int) -> list:
     ids = np.frombuffer(b"".join(encoded), "<u4")
     symbols, rules, rounds = repair(ids, base)
-    return [part, seq, len(doc_ids), len(ids), base, pa.array(doc_ids, pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), (np.array([len(x) for x in encoded], "<i8") // 4).tobytes(), symbols.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), rounds.astype("<i8").tobytes(), expansion_lengths(rules, rounds, base).astype("<u4").tobytes()]
+    return [part, seq, before, len(doc_ids), len(ids), base, pa.array(doc_ids, pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), (np.array([len(x) for x in encoded], "<i8") // 4).tobytes(), symbols.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), rounds.astype("<i8").tobytes(), expansion_lengths(rules, rounds, base).astype("<u4").tobytes()]
 
 
 def shard_slice(row: dict, start: int, stop: int) -> np.ndarray:
@@ -123,20 +142,21 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
         from beamlake.llm.tokens import tokenizer as loaded
 
         base, part, seq = loaded(file).get_vocab_size(), TaskContext.get().partitionId(), 0
-        ids, parts, size = [], [], 0
+        ids, parts, size, before = [], [], 0, 0
         names = [x.split()[0] for x in SHARD.split(", ")]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(shard_row(part, seq, ids, parts, base), kinds, strict=True)], names=names)
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 6]
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(shard_row(part, seq, before, ids, parts, base), kinds, strict=True)], names=names)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 for doc, raw in zip(piece.column(0).to_pylist(), word_ids(piece.column(1).to_pylist(), file), strict=True):
+                    n = len(raw) // 4 + 1
+                    if ids and size + n > shard_ids:
+                        yield row()
+                        ids, parts, size, seq, before = [], [], 0, seq + 1, before + size
                     ids.append(doc)
                     parts.append(raw + end)
-                    size += len(raw) // 4 + 1
-                    if size >= shard_ids:
-                        yield row()
-                        ids, parts, size, seq = [], [], 0, seq + 1
+                    size += n
         if ids:
             yield row()
 
@@ -146,16 +166,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files.
 
-    Part totals (as many as there are partitions) are summed on the driver; a shard's place in its part is a window over the part.
-    Shards travel to no other task: only their places, a few numbers each, are joined to them."""
-    shards = spark.read.schema(spark.createDataFrame([], SHARD).schema).parquet(path)
-    sizes = shards.select("part", "seq", "n_ids")
-    parts = sorted((r["part"], r["n"]) for r in sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    Part totals (as many as there are partitions) are summed on the driver; a shard holds its place in its part, so shards are read
+    where they lie and travel to no other task."""
+    shards = spark.read.schema(SHARD).parquet(path)
+    parts = sorted((r["part"], r["n"]) for r in shards.select("part", "n_ids").groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     place, at = {}, 0
     for part, n in parts:
         place[part], at = at, at + n
-    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("before"))
 
     def decode(batches):
         for batch in batches:
@@ -168,7 +185,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * b : 4 * e]) for b, e in zip(begin, end, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == np.iinfo(np.int64).min), pa.array(begin + row["before"] + place[row["part"]]), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(starts, ["part", "seq"]).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_repair_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

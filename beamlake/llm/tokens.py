@@ -1,7 +1,7 @@
-"""Exact tokenizer output through caches of white-space separated chunks, which live as long as a Python worker.
+"""Exact tokenizer output through caches of chunks, which live as long as a Python worker.
 
-A text may be cut wherever both tokenizers always end a pre-token, so the ids of a text are those of its chunks in order. Texts
-that hold a special string are encoded whole."""
+A text may be cut wherever a tokenizer always ends a pre-token, so the ids of a text are those of its chunks in order. Texts that
+hold a special string are encoded whole."""
 
 from __future__ import annotations
 
@@ -11,8 +11,10 @@ from itertools import islice
 
 import numpy as np
 
-#: Entries of a worker's cache (some 100 MB).
-CACHE_ENTRIES = 500_000
+from beamlake.llm.base import U64, mixed, stretch_hashes, stretches
+
+#: Entries of a worker's cache (chunk ids: some 40 MB; counts: 70 MB).
+CACHE_ENTRIES = 600_000
 _state: dict = {}
 
 
@@ -41,82 +43,174 @@ def _fresh(kind: str, path: str, wanted: set[str], frequent: dict) -> dict:
     return cache
 
 
-def forget(kind: str) -> None:
-    """Frees the caches of one kind; workers outlive the stage that filled them."""
-    for key in [k for k in _state if k[0] == kind]:
-        del _state[key]
+#: By byte: 0 space or line feed, 1 an ASCII letter, 2 other ASCII, 3 a part of another character.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[0x20, 0x0A]], _KIND[128:] = 0, 3
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_VALUES = [mixed(np.arange(1, 257, dtype=U64) * U64(x)) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-#: A word of lower-case Latin letters that NFC and lower-casing leave alone, and ASCII marks behind it without an apostrophe: two pre-tokens.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+def _cuts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of chunks: between spaces and line feeds, and cut where a letter (ASCII or Latin-1) meets other ASCII.
 
+    Both are never inside a pre-token and no character composes across them, so a text's ids are those of its chunks in order."""
+    kind = _KIND[raw]
+    solid = kind != 0
+    letter = kind == 1
+    letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = letter[:-1] & (kind[1:] == 2)
+    start, end = solid & cut, cut
+    start[1:] |= solid[1:] & ~solid[:-1]
+    end[1:] |= ~solid[1:] & solid[:-1]
+    start[:1] = solid[:1]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end)
+    return starts, np.append(ends, len(raw)) if len(starts) > len(ends) else ends
 
-def _lowered(text: str) -> str:
-    """ASCII letters lowered, which the tokenizer does too; not where a combining mark follows, with which they compose first."""
-    if text.isascii():
-        return text.lower()
-    raw = text.encode("utf-8", "surrogatepass")
-    return text if b"\xcc" in raw or b"\xcd" in raw else raw.lower().decode("utf-8", "surrogatepass")
 
+class WordCache:
+    """Ids of chunks by a 64-bit hash and a 32-bit check, in flat arrays: open addressing, looked up a batch at a time."""
 
-def _ends(path: str) -> np.ndarray:
-    """Which ids end a pre-token."""
-    if ("e", path) not in _state:
+    def __init__(self, path: str):
+        self.path, self.bits = path, max(4, (2 * CACHE_ENTRIES - 1).bit_length())
         words = tokenizer(path).get_vocab()
-        out = np.zeros(max(words.values()) + 1, bool)
-        out[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        _state["e", path] = out
-    return _state["e", path]
-
-
-def _encode_new(cache: dict, new: list[str], path: str) -> None:
-    """Adds the ids of chunks. Plain words go as one text, whose ids are told apart by the ends of words; the rest one by one."""
-    t, plain, odd = tokenizer(path), [], []
-    for w in new:
-        m = _PLAIN.fullmatch(w)
-        if m:
-            plain.append((w, *m.groups()))
-        else:
-            odd.append(w)
-    odd += {p for _, _, p in plain if p and p not in cache}
-    words = list({c for _, c, _ in plain if c not in cache})
-    if words:
-        e = t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(e.ids, "<u4")
-        raw, end = ids.tobytes(), (4 * (np.flatnonzero(_ends(path)[ids]) + 1)).tolist()
-        if len(end) == len(words):
-            cache.update(zip(words, map(raw.__getitem__, map(slice, [0, *end[:-1]], end)), strict=True))
-        else:
-            odd += words
-    for w, e in zip(odd, t.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-        cache[w] = np.array(e.ids, "<u4").tobytes()
-    for w, c, p in plain:
-        if p:
-            cache[w] = cache[c] + cache[p]
+        self.ends = np.zeros(max(words.values()) + 1, bool)  # which ids end a pre-token
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self._empty()
+
+    def _empty(self) -> None:
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys, self.checks, self.start, self.length, self.ids = np.empty(0, U64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entry of each key, or -1."""
+        out = np.full(len(key), -1, np.int64)
+        if not len(self.keys):
+            return out
+        mask = (1 << self.bits) - 1
+        todo, at = np.arange(len(key)), (key & U64(mask)).astype(np.int64)
+        while len(todo):
+            entry = self.slots[at]
+            hit = (entry >= 0) & (self.keys[entry] == key[todo]) & (self.checks[entry] == check[todo])
+            out[todo[hit]] = entry[hit]
+            on = ~hit & (entry >= 0)
+            todo, at = todo[on], (at[on] + 1) & mask
+        return out
+
+    def _place(self, first: int) -> None:
+        mask = (1 << self.bits) - 1
+        todo = np.arange(first, len(self.keys))
+        at = (self.keys[todo] & U64(mask)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.slots[at] < 0)
+            self.slots[at[free]] = todo[free]  # of several for one slot the last stays
+            on = self.slots[at] != todo
+            todo, at = todo[on], (at[on] + 1) & mask
+
+    def shrink(self) -> None:
+        """Keeps the older half: common chunks are met first."""
+        n = min(len(self.keys), CACHE_ENTRIES // 2)
+        held = self.keys[:n], self.checks[:n], self.start[:n], self.length[:n], self.ids[: int(self.length[:n].sum())]
+        self._empty()
+        self.keys, self.checks, self.start, self.length, self.ids = held
+        self._place(0)
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: list[bytes]) -> None:
+        first, size = len(self.keys), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        end = np.cumsum(size) + len(self.ids)
+        self.keys, self.checks = np.append(self.keys, key), np.append(self.checks, check)
+        self.start, self.length = np.append(self.start, end - size), np.append(self.length, size)
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), "<u4"))
+        if 2 * len(self.keys) > 1 << self.bits:  # a batch with more distinct chunks than the cache is meant for
+            while 2 * len(self.keys) > 1 << self.bits:
+                self.bits += 1
+            self.slots, first = np.full(1 << self.bits, -1, np.int32), 0
+        self._place(first)
+
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
+        """By the library. Plain words go as one text, whose ids are told apart by the ends of words; other chunks one by one."""
+        t, out = tokenizer(self.path), [b""] * len(chunks)
+        words = [c.decode("utf-8", "surrogatepass") for c in chunks]
+        plain = [i for i, w in enumerate(words) if _PLAIN(w)]
+        odd = [i for i, w in enumerate(words) if not _PLAIN(w)]
+        if plain:
+            ids = np.array(t.encode_batch_fast([" ".join([words[i] for i in plain])], add_special_tokens=False)[0].ids, "<u4")
+            raw, end = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(end) == len(plain):
+                for i, a, b in zip(plain, [0, *end[:-1]], end, strict=True):
+                    out[i] = raw[a:b]
+            else:
+                odd += plain
+        for i, e in zip(odd, t.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def lookup(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start of each chunk in raw, ids up to its end, all ids in order)."""
+        every, parts = np.frombuffer(raw, np.uint8), []
+        for at, end in stretches(raw, b" \n"):
+            piece = every[at:end]
+            starts, ends = _cuts(piece)
+            key, check = (stretch_hashes(piece, starts, ends, v) for v in _VALUES)
+            parts.append((starts + at, ends + at, mixed(key), (check >> U64(32)).astype(np.uint32)))
+        starts, ends, key, check = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.uint32))
+        entry = self.find(key, check)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing) and len(self.keys) > CACHE_ENTRIES:
+            self.shrink()
+            entry = self.find(key, check)
+            missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            _, one = np.unique(key[missing], return_index=True)
+            new = missing[one]
+            self.add(key[new], check[new], self.encode([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
+            entry = self.find(key, check)
+        size = self.length[entry]
+        end = np.cumsum(size)
+        ids = self.ids[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.start[entry] - (end - size), size)]
+        return starts, end, ids
+
+
+#: Words of lower-case Latin letters, which NFC and lower-casing leave alone: one pre-token each.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def _lowered(text: str) -> bytes:
+    """ASCII letters lowered, which the tokenizer does too; not where a combining mark may follow, with which they compose first."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()
 
 
-def word_ids(texts: list[str | None], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text (null: none) by the lower-casing word tokenizer.
+def forget_words() -> None:
+    """Frees the worker's cache of chunks; workers outlive the stage that filled it."""
+    for key in [k for k in _state if k[0] == "words"]:
+        del _state[key]
 
-    Space and line feed are never part of one of its pre-tokens and compose with nothing, so they are safe cuts."""
-    t = tokenizer(path)
-    chunks = [None if x and "<|" in x else _lowered(x or "").replace("\n", " ").split(" ") for x in texts]
-    wanted = set().union(*(c for c in chunks if c))
-    cache = _fresh("ids", path, wanted, {"": b""})
-    if new := list(wanted.difference(cache)):
-        _encode_new(cache, new, path)
-    get = cache.__getitem__
-    return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for x, c in zip(texts, chunks, strict=True)]
+
+def word_ids(texts: list[str | None], path: str) -> list[bytes]:
+    """Little-endian 32-bit ids of each text (null: none) by the lower-casing word tokenizer."""
+    if ("words", path) not in _state:
+        _state["words", path] = WordCache(path)
+    whole = {i for i, x in enumerate(texts) if x and "<|" in x}
+    raws = [b"" if i in whole or not x else _lowered(x) for i, x in enumerate(texts)]
+    starts, end, ids = _state["words", path].lookup(b"\n".join(raws))
+    begin = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    at = 4 * np.append(0, end)[np.searchsorted(starts, begin)]
+    flat = ids.astype("<u4", copy=False).tobytes()
+    out = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    for i in whole:
+        out[i] = np.array(tokenizer(path).encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+    return out
 
 
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]")
+_IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]")
 
 
 def byte_chunks(text: str) -> tuple[list[str], list[str], int] | None:
     """(line starts, words after one space, line feeds) or None if the text must be encoded whole.
 
     Single spaces and line feeds between other characters: a space opens the next pre-token, a line feed is one of its own."""
-    if "<|endoftext|>" in text or not text or text[0].isspace() or text[-1].isspace() or _ODD.search(text):
+    if "<|endoftext|>" in text or not text or text[0].isspace() or text[-1].isspace() or _IRREGULAR.search(text):
         return None
     if "\n" not in text:
         first, *rest = text.split(" ")
