@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, doubled, hashes, least_positions, mixed, run_at, sliced, words_of, written
+from beamlake.llm.base import U64, doubled, least_positions, mixed, run_at, sliced, text_hashes, written
 
 _BYTE = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 #: Units that are hashed at once (arrays of them fit a core's cache; longer texts go in overlapping stretches), and units that a task
@@ -32,12 +32,12 @@ def byte_hashes(raw: bytes) -> np.ndarray:
     return _BYTE[np.frombuffer(raw, np.uint8)]
 
 
-def byte_units(text: str | None) -> np.ndarray:
-    return byte_hashes((text or "").encode("utf-8", "surrogatepass"))
+def byte_units(texts: list[str | None]) -> list[np.ndarray]:
+    return [byte_hashes((t or "").encode("utf-8", "surrogatepass")) for t in texts]
 
 
-def word_units(text: str | None) -> np.ndarray:
-    return hashes(words_of(text, lower=False))
+def word_units(texts: list[str | None]) -> list[np.ndarray]:
+    return text_hashes(texts, lower=False)
 
 
 def text_tag() -> Column:
@@ -155,7 +155,7 @@ def _and_end(batches):
     yield None
 
 
-def repeated(docs: DataFrame, units: Callable[[str | None], np.ndarray], window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, units: Callable[[list[str | None]], list[np.ndarray]], window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
     """(spans, open): spans(doc_id, tag, a, b) are window starts known to repeat earlier windows; open(anchor, doc_id, tag, a, b,
     others) has the earliest segment of each class that has others or shares its anchor. Rows of null doc_id take no part."""
 
@@ -171,8 +171,7 @@ def repeated(docs: DataFrame, units: Callable[[str | None], np.ndarray], window:
 
         for batch in batches:
             for piece in sliced(batch, 1, 256):
-                for doc, text, tag in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
-                    u = units(text)
+                for doc, u, tag in zip(piece.column(0).to_pylist(), units(piece.column(1).to_pylist()), piece.column(2).to_pylist(), strict=True):
                     for start in range(0, len(u) - window + 1, STRETCH_UNITS):
                         part = u[start : start + STRETCH_UNITS + window - 1]
                         waiting.append((doc, tag, start, part))

@@ -34,8 +34,9 @@ def extended_runs(docs: DataFrame, candidates: DataFrame, window: int) -> DataFr
 
     def extend(batch):
         out: list[list] = [[], [], [], [], [], []]
-        for doc, tag, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            steps = doubled(word_units(text), window)
+        doc_ids, tags, texts, asked = (batch.column(i).to_pylist() for i in range(4))
+        for doc, tag, h, found in zip(doc_ids, tags, word_units(texts), asked, strict=True):
+            steps = doubled(h, window)
             first = run_at(steps, lengths[0])
             for s in found:
                 a, b = s["a"], s["b"]

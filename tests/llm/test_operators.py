@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from beamlake.llm import lm, near_dedup, repeats, suffix_dedup, toxicity
+from beamlake.llm import lm, near_dedup, repeats, substring_dedup, suffix_dedup, toxicity
 from beamlake.llm.base import components, least_positions, runs_hashed, scratch
 from beamlake.llm.decontaminate import common_length, common_subsequence, leaks
 from beamlake.llm.packing import pack, plan
@@ -55,8 +55,8 @@ def test_pair_compression_round_trip():
     for ids in (np.array([], np.uint32), np.ones(500, np.uint32), np.array([rnd.choice([1, 2, 3]) for _ in range(9000)], np.uint32)):
         symbols, rules, rounds = repair(ids, 10)
         assert (expand(symbols, rules, rounds, 10) == ids).all()
-        names = "part seq n_docs n_ids base doc_ids doc_lengths symbols rules rounds expansion".split()
-        row = dict(zip(names, shard_row(0, 0, [1], [ids.tobytes()], 10), strict=True))
+        names = "part seq before n_docs n_ids base doc_ids doc_lengths symbols rules rounds expansion".split()
+        row = dict(zip(names, shard_row(0, 0, 0, [1], [ids.tobytes()], 10), strict=True))
         for _ in range(20):
             a = rnd.randrange(len(ids) + 1)
             b = rnd.randrange(a, len(ids) + 1)
@@ -165,9 +165,11 @@ def test_components(spark, one_task):
     assert all(got.get(i, 0) == 0 for i in range(61)) and got[101] == got[102] == 100
 
 
-def _brute(rows, units, window):
+def _brute(docs, rows, units, window):
+    """(doc_id, text): units and which of them go; rows of one doc_id in the order of their texts' tags."""
+    tag = {r["text"]: r["tag"] for r in docs.select("text", repeats.text_tag()).collect()}
     seen, out = set(), {}
-    for d, x in sorted({(d, x) for d, x, *_ in rows if d is not None}, key=lambda r: r[0]):
+    for d, x in sorted({(d, x) for d, x, *_ in rows if d is not None}, key=lambda r: (r[0], tag[r[1]])):
         u = units(x or "")
         gone = np.zeros(len(u), bool)
         for s in range(len(u) - window + 1):
@@ -175,29 +177,64 @@ def _brute(rows, units, window):
             if w in seen:
                 gone[s : s + window] = True
             seen.add(w)
-        out[d] = u, gone
-    return out
+        out[d, x] = u, gone
+    return out | {(None, x): (u := units(x or ""), np.zeros(len(u), bool)) for d, x, *_ in rows if d is None}
 
 
-def test_level_doubling(docs, rows, empty):
-    want = _brute(rows, lambda x: x.encode().split(), 20)
-    for r in remove_repeated_words(docs).collect():
-        u, gone = want[r["doc_id"]] if r["doc_id"] is not None else (rows[0][1].encode().split(), np.zeros(150, bool))
-        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(u), gone.sum(), hashlib.sha256(b" ".join(w for w, g in zip(u, gone, strict=True) if not g)).hexdigest())
+@pytest.fixture(scope="module")
+def torn(spark, rows):
+    """Rows of one doc_id and different texts, some of them long; near copies that share all but a few words."""
+    texts = [_text(40) + " " + PASSAGE, _text(5) + " " + PASSAGE + " " + PASSAGE + _text(9), PASSAGE + " " + _text(300), _text(25000) + " " + PASSAGE]
+    near = _text(200).split()
+    near = [" ".join(w if i % 67 != k else f"new{k}" for i, w in enumerate(near)) for k in range(12)]
+    out = rows + [(5000 + i // 3, t, None, None, 1, 5, 6, False, 9) for i, t in enumerate(texts + near)] + [(3, _text(400), None, None, 1, 5, 6, False, 9)]
+    return out, spark.createDataFrame(out, SCHEMA)
+
+
+@pytest.mark.parametrize("window", [20, 30])
+def test_level_doubling(torn, empty, window):
+    rows, docs = torn
+    want, seen = _brute(docs, rows, lambda x: x.encode().split(), window), []
+    got = remove_repeated_words(docs, window).collect()
+    assert Counter(map(tuple, (r[:4] for r in got))) == Counter((d, len(u), int(gone.sum()), hashlib.sha256(b" ".join(w for w, g in zip(u, gone, strict=True) if not g)).hexdigest()) for d, x, *_ in rows for u, gone in [want[d, x]])
     assert remove_repeated_words(empty).count() == 0
+    substring_dedup.repeated_word_spans(docs, window, seen)
+    assert [n for n, _ in seen] == substring_dedup.level_lengths(window)[1:] and all(n for _, n in seen)
 
 
-@pytest.mark.parametrize("crowd", [4096, 1])
-def test_interval_expansion(docs, rows, empty, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "ANCHOR_SEGMENTS", crowd)
-    want = _brute(rows, lambda x: x.encode(), 100)
-    for r in remove_repeated_bytes(docs).collect():
-        u, gone = want[r["doc_id"]] if r["doc_id"] is not None else (rows[0][1].encode(), np.zeros(len(rows[0][1].encode()), bool))
+@pytest.mark.parametrize("crowd, block", [(4096, 1 << 19), (1, 1 << 19), (1, 300), (4096, 2000)])
+def test_interval_expansion(torn, empty, crowd, block, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowd)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    rows, docs = torn
+    want = _brute(docs, rows, lambda x: x.encode(), 100)
+
+    def digest(u, gone):
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(u), gone.sum(), runs, hashlib.sha256(bytes(b for b, g in zip(u, gone, strict=True) if not g)).hexdigest())
-    for r in remove_repeated_bytes(docs, whole_characters=True).collect():
-        bytes(r["kept"]).decode()
-    assert remove_repeated_bytes(empty).count() == 0
+        return len(u), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(u, np.uint8)[~gone].tobytes()).hexdigest()
+
+    assert Counter(tuple(r[:5]) for r in remove_repeated_bytes(docs).collect()) == Counter((d, *digest(*want[d, x])) for d, x, *_ in rows)
+    if crowd > 1:
+        for r in remove_repeated_bytes(docs, whole_characters=True).collect():
+            bytes(r["kept"]).decode()
+        assert remove_repeated_bytes(empty).count() == 0
+
+
+def test_classes_settle_batch_by_batch():
+    """However the sorted rows are cut into batches, the same classes go on; those alone at their anchor go on only if they have others."""
+    rng = np.random.default_rng(6)
+    x = np.unique(rng.integers(0, [40, 3, 30, 5], (600, 4)), axis=0).T.astype(np.int64)
+    x[3] <<= 9
+    x = x[:, np.lexsort((x[3], x[2], x[1], x[0]))]
+
+    def run(size):
+        parts = [repeats._batch(anchor=p[0], segment=p[1], doc_id=p[2], place=p[3]) for i in range(0, x.shape[1], size) for p in [x[:, i : i + size]]]
+        return sorted((tuple(r.values()) for b in repeats.settle(iter(parts)) for r in b.to_pylist() if r["kind"]), key=repr)
+
+    assert run(1) == run(7) == run(10**6)
+    classes = Counter(map(tuple, x[:2].T.tolist()))
+    anchors = Counter(a for a, _ in classes)
+    assert len(run(7)) == sum(anchors[a] > 1 or n > 1 for (a, _), n in classes.items())
 
 
 def test_common_prefixes():
@@ -216,7 +253,7 @@ def test_runs_and_minima():
     for w in (1, 2, 7, 53):
         assert list(least_positions(h, w)) == [max(i for i in range(s, s + w) if h[i] == h[s : s + w].min()) for s in range(200 - w + 1)]
         assert (runs_hashed(h, w)[0][5:] == runs_hashed(h[5:], w)[0]).all()
-    assert repeats.covered(6, [{"a": 1, "b": 2}], 2).tolist() == [False, True, True, True, False, False]
+    assert repeats.covered(6, (np.array([1]), np.array([2])), 2).tolist() == [False, True, True, True, False, False]
 
 
 def test_toxicity(spark, docs, empty):
