@@ -15,24 +15,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, hashes, one_blas_thread, table, words_of, written
+from beamlake.llm.base import U64, one_blas_thread, sliced, table, text_hashes, written
 
 #: Vocabulary (with the two symbols below), classes of equal size, hidden units.
-VOCABULARY, CLASSES, HIDDEN = 4096, 64, 24
+VOCABULARY, CLASSES, HIDDEN = 4096, 64, 16
 UNKNOWN, END = 0, 1
 #: Words whose counts are broadcast; the counts of the others are joined.
 FREQUENT = 65_536
-#: Documents of the starting model (one bounded task), and the share of the training documents that the tasks then learn from: all.
-SEED_DOCS, SHARE = 1500, 1.0
-LANES, WINDOW, RATE = 32, 24, 0.08
+#: Documents of the starting model (one bounded task); then the tasks learn from all training documents, these again included.
+SEED_DOCS = 1500
+#: Lanes of a window (fewer for the starting model, which learns from little), its length, and the rate.
+LANES, SEED_LANES, WINDOW, RATE = 256, 32, 24, 0.08
 _END_HASH = U64(0x5EED0FE4D0000001)
 _CHUNK = 8192
 _state: dict = {}
 
 
-def encoded(text: str | None) -> np.ndarray:
-    """Hashes of the text's words and of its end."""
-    return np.append(hashes(words_of(text, lower=True)), _END_HASH)
+def encoded(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of each text's words and of its end."""
+    return [np.append(h, _END_HASH) for h in text_hashes(texts, lower=True)]
+
+
+def _pieces(batches, column: int = 0, rows: int = 256):
+    for batch in batches:
+        yield from sliced(batch, column, rows)
 
 
 class Lookup:
@@ -62,7 +68,10 @@ class Lookup:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.tanh(x * np.float32(0.5))
+    out *= np.float32(0.5)
+    out += np.float32(0.5)
+    return out
 
 
 class Gru:
@@ -92,120 +101,160 @@ class Gru:
         self.p["wb"] = np.log(per / per.sum(1, keepdims=True)).ravel().astype(np.float32)
         return self
 
-    def states(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """(steps, lanes) inputs from state h: the state after each input and what back-propagation needs."""
+    def states(self, ids: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """(steps, lanes) inputs from state h: the state after each input and, if asked, what back-propagation needs."""
         u, H = self.p["u"], HIDDEN
-        gates = self.p["x"][ids] + self.p["b"]
+        gates = self.p["x"][ids]
+        gates += self.p["b"]
         out, kept = np.empty((*ids.shape, H), np.float32), []
         for t in range(len(ids)):
-            rz = _sigmoid(gates[t, :, : 2 * H] + h @ u[:, : 2 * H])
-            hu = h @ u[:, 2 * H :]
-            n = np.tanh(gates[t, :, 2 * H :] + rz[:, :H] * hu)
-            kept.append((h, rz, hu, n))
-            h = n + rz[:, H:] * (h - n)
-            out[t] = h
+            hu = h @ u
+            g = gates[t]
+            g[:, : 2 * H] += hu[:, : 2 * H]
+            rz = _sigmoid(g[:, : 2 * H])
+            n = rz[:, :H] * hu[:, 2 * H :]
+            n += g[:, 2 * H :]
+            np.tanh(n, out=n)
+            if keep:
+                kept.append((h, rz, hu[:, 2 * H :], n))
+            h = np.subtract(h, n, out=out[t])
+            h *= rz[:, H:]
+            h += n
         return out, kept
 
+    def _overflow(self) -> bool:
+        """Whether an output could leave the range of exp: states lie between -1 and 1."""
+        return max(float((np.abs(self.p["c"]).sum(0) + np.abs(self.p["cb"])).max()), float((np.abs(self.p["w"]).sum(1) + np.abs(self.p["wb"])).max())) > 60
+
     def log_probs(self, h: np.ndarray, target: np.ndarray, learn: bool = False):
-        """Natural log-probability of each target; with learn also the gradient at h and of the output parameters."""
-        c, per = target // self.per_class, self.per_class
-        a = h @ self.p["c"] + self.p["cb"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1)
-        rows = np.arange(len(h))
-        out = a[rows, c] - np.log(total)
+        """Natural log-probability of each target; with learn also the gradient at h and of the output parameters.
+
+        Rows are sorted by class once, so that each class' rows are a slice."""
+        per, N = self.per_class, len(h)
+        order = np.argsort((target // per).astype(np.uint8 if CLASSES <= 256 else np.int32), kind="stable")
+        h, target = h[order], target[order]
+        c = target // per
+        edge = np.searchsorted(c, np.arange(CLASSES + 1))
+        one, clip = np.ones((N, 1), np.float32), self._overflow()
+        h1 = np.concatenate([h, one], axis=1)  # biases are the weights of a last unit that is always 1
+        e = h1 @ np.concatenate([self.p["c"], self.p["cb"][None]])
+        if clip:
+            np.minimum(e, 60, out=e)
+        rows = np.arange(N)
+        logs = e[rows, c]
+        np.exp(e, out=e)
+        total = e @ np.ones(CLASSES, np.float32)
+        logs -= np.log(total)
         if learn:
-            d = -e / total[:, None]
-            d[rows, c] += 1
-            grad = {"c": h.T @ d, "cb": d.sum(0), "w": np.zeros_like(self.p["w"]), "wb": np.zeros_like(self.p["wb"])}
-            dh = d @ self.p["c"].T
-        order = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[edge[k] : edge[k + 1]]
-            if not len(at):
-                continue
-            w, hk = self.p["w"][k * per : (k + 1) * per], h[at]
-            a = hk @ w.T + self.p["wb"][k * per : (k + 1) * per]
-            a -= a.max(1, keepdims=True)
-            e = np.exp(a)
-            total = e.sum(1)
-            r, t = np.arange(len(at)), target[at] - k * per
-            out[at] += a[r, t] - np.log(total)
-            if learn:
-                d = -e / total[:, None]
-                d[r, t] += 1
-                grad["w"][k * per : (k + 1) * per] = d.T @ hk
-                grad["wb"][k * per : (k + 1) * per] = d.sum(0)
-                dh[at] += d @ w
-        return (out, dh, grad) if learn else out
-
-    def learn(self, ids: np.ndarray, target: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One window of truncated back-propagation with Adagrad steps; the state to carry on."""
+            e *= (-1 / total)[:, None]
+            e[rows, c] += 1
+            both = h1.T @ e
+            grad = {"c": both[:-1], "cb": both[-1], "w": np.zeros_like(self.p["w"]), "wb": np.zeros_like(self.p["wb"])}
+            dh = e @ self.p["c"].T
+        f, w1 = np.empty((N, per), np.float32), np.concatenate([self.p["w"], self.p["wb"][:, None]], axis=1)
+        used = np.flatnonzero(edge[1:] > edge[:-1]).tolist()
+        for k in used:
+            np.matmul(h1[edge[k] : edge[k + 1]], w1[k * per : (k + 1) * per].T, out=f[edge[k] : edge[k + 1]])
+        if clip:
+            np.minimum(f, 60, out=f)
+        t = target - c * per
+        logs += f[rows, t]
+        np.exp(f, out=f)
+        total = f @ np.ones(per, np.float32)
+        logs -= np.log(total)
+        out = np.empty(N, np.float32)
+        out[order] = logs
+        if not learn:
+            return out
+        f *= (-1 / total)[:, None]
+        f[rows, t] += 1
+        for k in used:
+            part, own = f[edge[k] : edge[k + 1]], slice(k * per, (k + 1) * per)
+            both = part.T @ h1[edge[k] : edge[k + 1]]
+            grad["w"][own], grad["wb"][own] = both[:, :-1], both[:, -1]
+            dh[edge[k] : edge[k + 1]] += part @ self.p["w"][own]
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back, grad
+
+    def gradient(self, ids: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+        """(gradient of the summed log-probability but for the input words, words used, their gradient, state to carry on)."""
         T, B, H, u = *ids.shape, HIDDEN, self.p["u"]
-        out, kept = self.states(ids, h)
+        out, kept = self.states(ids, h, keep=True)
         _, dh_out, grad = self.log_probs(out.reshape(-1, H), target.ravel(), learn=True)
         dh_out = dh_out.reshape(T, B, H)
-        dh, du, dgate = np.zeros((B, H), np.float32), np.zeros_like(u), np.empty((T, B, 3 * H), np.float32)
+        # what reaches the gates by the input, and by the state, where the candidate's part passes the reset gate
+        dgate, dstate, dh = np.empty((T, B, 3 * H), np.float32), np.empty((T, B, 3 * H), np.float32), np.zeros((B, H), np.float32)
         for t in range(T - 1, -1, -1):
             before, rz, hu, n = kept[t]
             r, z = rz[:, :H], rz[:, H:]
-            dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * hu * r * (1 - r)
-            drz, dnr = np.concatenate([dr, dz], axis=1), dn * r
-            dgate[t, :, : 2 * H], dgate[t, :, 2 * H :] = drz, dn
-            du[:, : 2 * H] += before.T @ drz
-            du[:, 2 * H :] += before.T @ dnr
-            dh = dh * z + drz @ u[:, : 2 * H].T + dnr @ u[:, 2 * H :].T
-        grad |= {"u": du, "b": dgate.sum((0, 1))}
-        scale = 1 / B
-        used, inverse = np.unique(ids, return_inverse=True)
-        by_word = np.zeros((len(used), 3 * H), np.float32)
-        np.add.at(by_word, inverse.ravel(), dgate.reshape(-1, 3 * H))
+            dh += dh_out[t]
+            dn = dgate[t, :, 2 * H :]
+            np.multiply(dh, (1 - z) * (1 - n * n), out=dn)
+            dgate[t, :, H : 2 * H] = dh * (before - n) * z * (1 - z)
+            dgate[t, :, :H] = dn * hu * r * (1 - r)
+            dstate[t, :, : 2 * H] = dgate[t, :, : 2 * H]
+            np.multiply(dn, r, out=dstate[t, :, 2 * H :])
+            dh *= z
+            dh += dstate[t] @ u.T
+        before = np.stack([k[0] for k in kept]).reshape(-1, H)
+        flat = dgate.reshape(-1, 3 * H)
+        grad |= {"u": before.T @ dstate.reshape(-1, 3 * H), "b": flat.sum(0)}
+        order = np.argsort(ids.ravel().astype(np.uint16 if VOCABULARY <= 1 << 16 else np.int32), kind="stable")
+        word = ids.ravel()[order]
+        edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        return grad, word[edge], np.add.reduceat(flat[order], edge, axis=0), out[-1]
+
+    def learn(self, ids: np.ndarray, target: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """One window of truncated back-propagation with Adagrad steps; the state to carry on."""
+        grad, used, by_word, h = self.gradient(ids, target, h)
+        scale = np.float32(1 / ids.shape[1])
         for k, d in grad.items():
-            d = np.clip(d * scale, -1, 1)
+            d *= scale
+            np.clip(d, -1, 1, out=d)
             self.g[k] += d * d
             self.p[k] += RATE * d / np.sqrt(self.g[k])
-        d = np.clip(by_word * scale, -1, 1)
-        self.g["x"][used] += d * d
-        self.p["x"][used] += RATE * d / np.sqrt(self.g["x"][used])
-        return out[-1]
-
-    def learn_stream(self, ids: np.ndarray) -> None:
+        by_word *= scale
+        np.clip(by_word, -1, 1, out=by_word)
+        g = self.g["x"][used] + by_word * by_word
+        self.g["x"][used] = g
+        self.p["x"][used] += RATE * by_word / np.sqrt(g)
+        return h
+
+    def learn_stream(self, ids: np.ndarray, lanes: int = LANES) -> None:
         """Documents one after another, cut into lanes that are read side by side."""
-        n = (len(ids) - 1) // LANES
-        if n < 1:
+        lanes = min(lanes, max(1, len(ids) // WINDOW))
+        n = len(ids) // lanes
+        if not n:
             return
-        x = np.concatenate([[END], ids])[: LANES * n].reshape(LANES, n).T
-        y = ids[: LANES * n].reshape(LANES, n).T
-        h = np.zeros((LANES, HIDDEN), np.float32)
+        x = np.concatenate([[END], ids])[: lanes * n].reshape(lanes, n).T
+        y = ids[: lanes * n].reshape(lanes, n).T
+        h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, n, WINDOW):
             h = self.learn(x[t : t + WINDOW], y[t : t + WINDOW], h)
 
-    def score(self, docs: list[np.ndarray], window: int = 32, lanes: int = 512) -> np.ndarray:
-        """Log-probability (natural) of each document's ids, each ending in END, from the state after an END."""
+    def score(self, docs: list[np.ndarray], window: int = 32, lanes: int = 256) -> np.ndarray:
+        """Log-probability (natural) of each document's ids, each ending in END, from the state after an END.
+
+        Documents of like length are read side by side; a lane whose document has ended is dropped, so no text is padded."""
         out = np.zeros(len(docs))
         size = np.array([len(d) for d in docs])
         order = np.argsort(-size, kind="stable")
         for first in range(0, len(docs), lanes):
             group = order[first : first + lanes]
-            length = size[group]
-            ids = np.full((int(length[0]), len(group)), END, np.int32)
-            for j, i in enumerate(group):
-                ids[: size[i], j] = docs[i]
-            h = np.zeros((len(group), HIDDEN), np.float32)
-            for t in range(0, len(ids), window):
+            length, h = size[group], np.zeros((len(group), HIDDEN), np.float32)
+            before = np.full(len(group), END, np.int32)
+            for t in range(0, int(length[0]), window):
                 live = int(np.searchsorted(-length, -t, "left"))  # longer than t
-                y = ids[t : t + window, :live]
-                x = np.concatenate([ids[t - 1 : t, :live] if t else np.full((1, live), END, np.int32), y[:-1]])
-                states, _ = self.states(x, h[:live])
-                h = states[-1]
+                y = np.full((min(window, int(length[0]) - t), live), END, np.int32)
+                for j, i in enumerate(group[:live]):
+                    part = docs[i][t : t + window]
+                    y[: len(part), j] = part
+                states, _ = self.states(np.concatenate([before[None, :live], y[:-1]]), h[:live])
+                h, before = states[-1], y[-1]
                 real = np.arange(t, t + len(y))[:, None] < length[:live]
                 lp = self.log_probs(states[real], y[real])
-                np.add.at(out, np.broadcast_to(group[:live], real.shape)[real], lp)
+                out[group[:live]] += np.bincount(np.broadcast_to(np.arange(live), real.shape)[real], lp, live)
         return out
 
 
@@ -225,9 +274,9 @@ def _counted(docs: DataFrame) -> DataFrame:
             return every[edge], np.add.reduceat(n, edge)
 
         out = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(encoded(text))
+        for piece in _pieces(batches):
+            for h in encoded(piece.column(0).to_pylist()):
+                held.append(h)
                 size += len(held[-1])
                 if size > 1 << 20:
                     keys, counts = merged(keys, counts, np.concatenate(held))
@@ -243,6 +292,19 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The commonest words, `most` at most: all from the least count on that leaves so few. No task or driver sorts more than these:
+    the bound is read off a histogram of counts (whole numbers, then steps of 1/64 of an octave: under 5,000 of them)."""
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 384).cast("long")
+    bound, total = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > most:
+            break
+        bound = r["step"]
+    return counts.where(F.lit(False) if bound is None else step >= bound)
+
+
 def _ready(mark: str, shared):
     if mark not in _state:
         one_blas_thread()
@@ -272,7 +334,7 @@ def _averaged(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.array(r["v"], np.float32) for r in rows]) if rows else np.empty(0, np.float32)
 
 
-def score_documents(docs: DataFrame, share: float = SHARE, seed_docs: int = SEED_DOCS) -> DataFrame:
+def score_documents(docs: DataFrame, seed_docs: int = SEED_DOCS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs(doc_id, text).
 
     Null and empty texts are their end alone. A null doc_id is not held out. Repeated rows are answered alike and count each in
@@ -285,7 +347,7 @@ def score_documents(docs: DataFrame, share: float = SHARE, seed_docs: int = SEED
     counts = written(_counted(training), "counts")
     N, V = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
     end = U64(_END_HASH).view(np.int64)
-    top = counts.where(F.col("h") != int(end)).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    top = sorted(_frequent(counts.where(F.col("h") != int(end))).collect(), key=lambda r: (-r["n"], r["h"]))
     keys, freq = np.array([r["h"] for r in top], np.int64).view(U64), np.array([r["n"] for r in top], np.int64)
     n_end = N - (counts.where(F.col("h") != int(end)).agg(F.sum("n")).first()[0] or 0)
     inside = freq[: VOCABULARY - 2]
@@ -293,22 +355,21 @@ def score_documents(docs: DataFrame, share: float = SHARE, seed_docs: int = SEED
     model_counts = np.zeros(VOCABULARY)
     model_counts[:2], model_counts[2 : 2 + len(inside)] = (unknown_n, n_end), inside
 
-    def train(mark, shared, passes):
+    def train(mark, shared, passes, lanes):
         def run(batches):
             lookup, _, model = _ready(mark, shared)
             model, stream, size, tokens = Gru(model.flat()), [], 0, 0
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    h = encoded(text)
+            for piece in _pieces(batches):
+                for h in encoded(piece.column(0).to_pylist()):
                     stream.append(_ids(lookup(h), h))
                     size += len(h)
                     if size > 1 << 19:
                         for _ in range(passes):
-                            model.learn_stream(np.concatenate(stream))
+                            model.learn_stream(np.concatenate(stream), lanes)
                         tokens, stream, size = tokens + size, [], 0
             if stream:
                 for _ in range(passes):
-                    model.learn_stream(np.concatenate(stream))
+                    model.learn_stream(np.concatenate(stream), lanes)
                 tokens += size
             if tokens:
                 flat, part = model.flat(), TaskContext.get().partitionId()
@@ -321,9 +382,9 @@ def score_documents(docs: DataFrame, share: float = SHARE, seed_docs: int = SEED
     flat = Gru().start_from(model_counts).flat()
     first = training.where("doc_id is not null").withColumn("turn", F.xxhash64("doc_id")).select("turn", "doc_id").orderBy("turn", "doc_id").limit(seed_docs)
     seed = training.join(F.broadcast(first.select("doc_id").distinct()), "doc_id", "left_semi").select("text").repartition(1)  # at most seed_docs ids
-    later = training.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10_000)) < int(share * 10_000)).select("text")
-    for data, passes in ((seed, 2), (later, 1)):
-        found = _averaged(data.mapInArrow(train(uuid.uuid4().hex, context.broadcast((keys, freq, flat)), passes), schema))
+    later = training.select("text")
+    for data, passes, lanes in ((seed, 2, SEED_LANES), (later, 1, LANES)):
+        found = _averaged(data.mapInArrow(train(uuid.uuid4().hex, context.broadcast((keys, freq, flat)), passes, lanes), schema))
         flat = found if len(found) else flat
     mark, shared, total = uuid.uuid4().hex, context.broadcast((keys, freq, flat)), float(np.log10(N + V + 1))
     of_unknown = float(np.log10(unknown_n + unknown_v + 1))
@@ -331,12 +392,10 @@ def score_documents(docs: DataFrame, share: float = SHARE, seed_docs: int = SEED
     def score(batches):
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2048):
-                piece = batch.slice(begin, 2048)
+            for piece in sliced(batch, 2, 2048):
                 lookup, freq, model = _ready(mark, shared)
                 ids, rows = [], []
-                for text in piece.column(2).to_pylist():
-                    h = encoded(text)
+                for h in encoded(piece.column(2).to_pylist()):
                     found = lookup(h)
                     v = _ids(found, h)
                     ids.append(v)
