@@ -73,3 +73,60 @@ def box_of(points: Column) -> Column:
 
 def length(a: Column, b: Column) -> Column:
     return norm(sub(b, a))
+
+
+def midpoint(a: Column, b: Column) -> Column:
+    return scale(add(a, b), 0.5)
+
+
+def make_envelope(lo: Column, hi: Column) -> Column:
+    """Box of two corners; null if either is null."""
+    fields = [(c + s, p[c]) for s, p in (("min", lo), ("max", hi)) for c in "xyz"]
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(*[v.alias(n) for n, v in fields]))
+
+
+def box_corners(box: Column) -> Column:
+    """The eight corners."""
+    return F.array(*[point(box[f"x{a}"], box[f"y{b}"], box[f"z{c}"]) for a in ("min", "max") for b in ("min", "max") for c in ("min", "max")])
+
+
+def box_volume(box: Column) -> Column:
+    return (box["xmax"] - box["xmin"]) * (box["ymax"] - box["ymin"]) * (box["zmax"] - box["zmin"])
+
+
+def boxes_meet(a: Column, b: Column, grown=0.0) -> Column:
+    """Inclusive overlap of two boxes, the first grown on all sides."""
+    out = F.lit(True)
+    for c in "xyz":
+        out = out & (a[f"{c}min"] - grown <= b[f"{c}max"]) & (a[f"{c}max"] + grown >= b[f"{c}min"])
+    return out
+
+
+def is_closed(ring: Column) -> Column:
+    return (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
+
+
+def closed(ring: Column) -> Column:
+    """The ring with its first point once more at the end."""
+    return let(opened(ring), lambda o: F.concat(o, F.slice(o, 1, 1)))
+
+
+def edges(exterior: Column, holes: Column) -> Column:
+    """All edges of a polygon as one array of numbers, six for each edge: what the distance kernel reads."""
+    none = F.array().cast("array<array<struct<x:double,y:double,z:double>>>")
+
+    def of_ring(r):
+        at = lambda i: F.element_at(r, (i % F.size(r) + 1).cast("int"))
+        six = lambda a, b: F.array(*[p[c] for p in (a, b) for c in "xyz"])
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: let(at(i), lambda a: let(at(i + 1), lambda b: six(a, b)))))
+
+    rings = F.concat(F.array(exterior), F.coalesce(holes, none))
+    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 0), lambda r: let(opened(r), of_ring)))
+
+
+def parse_points_wkt(text: Column) -> Column:
+    """Points of MULTIPOINT Z or LINESTRING Z text as an array; null for other text."""
+    body = F.regexp_extract(F.upper(text), r"^(?:MULTIPOINT|LINESTRING) ?Z ?\((.*)\)$", 1)
+    number = lambda s, i: F.element_at(F.split(F.trim(s), r"\s+"), i + 1).cast("double")
+    parts = F.split(F.regexp_replace(body, "[()]", ""), ",")
+    return F.when(F.length(body) > 0, F.transform(parts, lambda s: point(number(s, 0), number(s, 1), number(s, 2))))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from beamlake.operators.numbering import ranked
+
 
 def upserted(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """existing(id, keys...) with a further id for each key tuple of new that it lacks, in key order; null keys are equal."""
@@ -13,9 +15,8 @@ def upserted(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     condition = same[0]
     for s in same[1:]:
         condition = condition & s
-    fresh = new.select(*keys).distinct().alias("new").join(existing, condition, "left_anti")
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy(*keys)))  # entities are few: platforms, sensors, campaigns, missions
-    return existing.select("id", *keys).unionByName(numbered.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).cast(existing.schema["id"].dataType).alias("id"), *keys))
+    fresh = ranked(new.select(*keys).distinct().alias("new").join(existing, condition, "left_anti"), keys)
+    return existing.select("id", *keys).unionByName(fresh.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).cast(existing.schema["id"].dataType).alias("id"), *keys))  # one row
 
 
 def duplicates(df: DataFrame, keys: list[str], nulls_equal: bool = False) -> DataFrame:
@@ -32,8 +33,9 @@ def without_names(payload: DataFrame, names: list[str]) -> DataFrame:
     return payload.where(~((F.col("namespace_id") == 1) & F.col("name").isin(names)))
 
 
-def without_pattern(properties: DataFrame, pattern: str = "sensordb_%") -> DataFrame:
-    return properties.where(~F.col("name").like(pattern))
+def without_pattern(properties: DataFrame, pattern: str) -> DataFrame:
+    """Rows whose name is not like the pattern, where an underscore stands for any character; null names stay."""
+    return properties.where(~F.coalesce(F.col("name").like(pattern), F.lit(False)))
 
 
 def box_overlap(envelope: Column, lo: tuple | None = None, hi: tuple | None = None) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from beamlake.functions import geometry as G
 from beamlake.functions import vector as V
 from beamlake.operators import asof, associate, bins, entities, octree, payload
+from beamlake.sources.messages import slice_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,8 +37,9 @@ def _r(c, digits: int = 6):
     return F.round(c, digits) + F.lit(0.0)
 
 
-def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    """One row for each beam with sensor, campaign, feature and measures; unassociated beams are kept."""
+def enriched(spark: SparkSession, sf: str, names: bool = True, classes: bool = True) -> DataFrame:
+    """One row for each beam with sensor, campaign, feature and measures; unassociated beams are kept. names and classes: join the object
+    name, and the feature's id and class, only for queries that use them (both joins are to unique keys)."""
     t = lambda n: _t(spark, sf, n)
     feature = F.when((F.col("l_linenumber") == 7) | (F.col("l_quantity") < 5), None).otherwise(F.col("l_suppkey"))
     beams = t("lineitem").join(t("orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -45,9 +47,12 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_returnflag").alias("sensor_id"), F.col("o_orderpriority").alias("campaign_id"), feature.alias("feature_id"), F.col("l_quantity").alias("intensity"),
         (F.col("l_extendedprice") / 105).alias("spherical_range"), (F.col("l_discount") * 15).alias("surface_zenith_angle"), (F.col("l_tax") * 75).alias("surface_azimuth_angle"), "l_partkey",
     )
-    named = beams.join(t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("feature_object_name")), "l_partkey", "left").drop("l_partkey")
-    classes = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("feature_id"), F.col("s_name").alias("feature_object_id"), F.col("n_name").alias("feature_class_name"))
-    return named.join(classes, "feature_id", "left").withColumn("feature_object_name", F.when(F.col("feature_id").isNotNull(), F.col("feature_object_name")))
+    if names:
+        beams = beams.join(t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("feature_object_name")), "l_partkey", "left").withColumn("feature_object_name", F.when(F.col("feature_id").isNotNull(), F.col("feature_object_name")))
+    if classes:
+        info = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("feature_id"), F.col("s_name").alias("feature_object_id"), F.col("n_name").alias("feature_class_name"))
+        beams = beams.join(info, "feature_id", "left")
+    return beams.drop("l_partkey")
 
 
 _BEAMS = """WITH beams AS (SELECT l_returnflag AS sensor_id, o_orderpriority AS campaign_id, f.feature_id, l_quantity AS intensity, l_extendedprice / 105 AS spherical_range, l_discount * 15 AS surface_zenith_angle, l_tax * 75 AS surface_azimuth_angle,
@@ -62,22 +67,22 @@ def _counts() -> list:
 
 @query(_BEAMS + f"SELECT {_COUNTS} FROM beams")
 def overview_counts(spark, sf):
-    return enriched(spark, sf).agg(*_counts())
+    return enriched(spark, sf, names=False).agg(*_counts())
 
 
 @query(_BEAMS + f"SELECT sensor_id, {_COUNTS} FROM beams GROUP BY ALL")
 def sensor_stats(spark, sf):
-    return enriched(spark, sf).groupBy("sensor_id").agg(*_counts())
+    return enriched(spark, sf, names=False).groupBy("sensor_id").agg(*_counts())
 
 
 @query(_BEAMS + f"SELECT campaign_id, {_COUNTS} FROM beams GROUP BY ALL")
 def campaign_stats(spark, sf):
-    return enriched(spark, sf).groupBy("campaign_id").agg(*_counts())
+    return enriched(spark, sf, names=False).groupBy("campaign_id").agg(*_counts())
 
 
 @query(_BEAMS + f"SELECT campaign_id, CAST(floor(spherical_range / 15.0) AS BIGINT) AS bin, CAST(floor(spherical_range / 15.0) AS BIGINT) * 15.0::DOUBLE AS lower_bound, (CAST(floor(spherical_range / 15.0) AS BIGINT) + 1) * 15.0::DOUBLE AS upper_bound, {_COUNTS} FROM beams WHERE spherical_range IS NOT NULL GROUP BY ALL")
 def range_histogram(spark, sf):
-    b = enriched(spark, sf).where("spherical_range is not null").groupBy("campaign_id", F.floor(F.col("spherical_range") / 15.0).alias("bin")).agg(*_counts())
+    b = enriched(spark, sf, names=False).where("spherical_range is not null").groupBy("campaign_id", F.floor(F.col("spherical_range") / 15.0).alias("bin")).agg(*_counts())
     return b.withColumns({"lower_bound": F.col("bin") * 15.0, "upper_bound": (F.col("bin") + 1) * 15.0})
 
 
@@ -89,7 +94,7 @@ def class_name_counts(spark, sf):
 
 @query(_BEAMS + "SELECT feature_class_name, campaign_id, sensor_id, count(*) AS points, count(DISTINCT feature_object_id) AS features FROM beams WHERE feature_class_name IS NOT NULL GROUP BY ALL")
 def class_campaign_sensor(spark, sf):
-    return enriched(spark, sf).where("feature_class_name is not null").groupBy("feature_class_name", "campaign_id", "sensor_id").agg(*_counts()).drop("associated")
+    return enriched(spark, sf, names=False).where("feature_class_name is not null").groupBy("feature_class_name", "campaign_id", "sensor_id").agg(*_counts()).drop("associated")
 
 
 @query(_BEAMS + "SELECT feature_class_name, coalesce(feature_object_name, '') AS feature_object_name, campaign_id, sensor_id, count(*) AS points, count(DISTINCT feature_object_id) AS features FROM beams WHERE feature_class_name IS NOT NULL GROUP BY ALL")
@@ -100,12 +105,12 @@ def class_name_campaign_sensor(spark, sf):
 
 @query(_BEAMS + "SELECT feature_class_name, count(DISTINCT feature_id) AS features, count(*) AS associated FROM beams WHERE feature_class_name IS NOT NULL GROUP BY ALL HAVING count(DISTINCT feature_id) > 0")
 def class_totals(spark, sf):
-    return enriched(spark, sf).where("feature_class_name is not null").groupBy("feature_class_name").agg(F.count_distinct("feature_id").alias("features"), F.count("*").alias("associated")).where("features > 0")
+    return enriched(spark, sf, names=False).where("feature_class_name is not null").groupBy("feature_class_name").agg(F.count_distinct("feature_id").alias("features"), F.count("*").alias("associated")).where("features > 0")
 
 
 @query(_BEAMS + "SELECT DISTINCT feature_id, sensor_id, campaign_id FROM beams WHERE feature_id IS NOT NULL")
 def distinct_features(spark, sf):
-    return enriched(spark, sf).where("feature_id is not null").select("feature_id", "sensor_id", "campaign_id").distinct()
+    return enriched(spark, sf, names=False, classes=False).where("feature_id is not null").select("feature_id", "sensor_id", "campaign_id").distinct()
 
 
 def _case(value: str, bounds) -> str:
@@ -119,7 +124,7 @@ _STATS = f"stats AS (SELECT feature_id, sensor_id, campaign_id, {_BINS}, min(int
 
 @query(_BEAMS + f"SELECT {_BINS}, count(*) AS points FROM beams GROUP BY ALL")
 def signature_bins(spark, sf):
-    b = enriched(spark, sf)
+    b = enriched(spark, sf, names=False, classes=False)
     return b.groupBy(bins.bin_index(F.col("spherical_range"), bins.RANGE_BOUNDS).alias("range_bin"), bins.bin_index(F.col("surface_zenith_angle"), bins.ZENITH_BOUNDS).alias("zenith_bin"), bins.bin_index(F.col("surface_azimuth_angle"), bins.AZIMUTH_BOUNDS).alias("azimuth_bin")).agg(F.count("*").alias("points"))
 
 
@@ -129,37 +134,60 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(_BEAMS + f", {_STATS} SELECT * FROM stats")
 def signature_stats(spark, sf):
-    return _rounded(bins.signature_stats(enriched(spark, sf)))
+    return _rounded(bins.signature_stats(enriched(spark, sf, names=False, classes=False)))
 
 
 def _bounds_sql(index: str, bounds, name: str) -> str:
-    return ", ".join(f"list_extract([{', '.join(f'{float(b)!r}::DOUBLE' for b in bounds)}], {index} + {k}) AS {name}_{s}" for k, s in ((0, "lower"), (1, "upper")))
+    return ", ".join(f"list_extract([{', '.join(f'{float(b)!r}::DOUBLE' for b in bounds)}], {index} + {k}) AS {name}_bin_{s}" for k, s in ((0, "lower"), (1, "upper")))
 
 
-@query(_BEAMS + f", {_STATS} SELECT s.*, s_name AS feature_object_id, n_name AS feature_class_name, round(intensity_p75 - intensity_p25, 6) AS intensity_iqr, {_bounds_sql('range_bin', bins.RANGE_BOUNDS, 'range')} FROM stats s JOIN supplier ON s_suppkey = feature_id JOIN nation ON n_nationkey = s_nationkey")
+_SIDES = {"sensor": ("lineitem", "l_returnflag"), "campaign": ("orders", "o_orderpriority")}
+_NAMES = ", ".join(f"{k} AS (SELECT DISTINCT {c} AS id, '{k} ' || {c} AS name FROM {t})" for k, (t, c) in _SIDES.items())
+_INFO = "info AS (SELECT s_suppkey AS feature_id, s_name AS feature_object_id, CASE WHEN s_suppkey % 3 <> 0 THEN r_name END AS feature_object_name, n_name AS feature_class_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)"
+
+
+def entities_of(spark, sf, kind: str) -> DataFrame:
+    table, column = _SIDES[kind]
+    return _t(spark, sf, table).select(F.col(column).alias("id")).distinct().withColumn("name", F.concat(F.lit(f"{kind} "), "id"))
+
+
+def feature_info(spark, sf) -> DataFrame:
+    joined = _t(spark, sf, "supplier").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(_t(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return joined.select(F.col("s_suppkey").alias("feature_id"), F.col("s_name").alias("feature_object_id"), F.when(F.col("s_suppkey") % 3 != 0, F.col("r_name")).alias("feature_object_name"), F.col("n_name").alias("feature_class_name"))
+
+
+_PCT = ", ".join("intensity_median" if p == 50 else f"intensity_p{p}" for p in bins.PERCENTILES)
+
+
+@query(
+    _BEAMS + f", {_STATS}, {_NAMES}, {_INFO} SELECT feature_object_id, feature_object_name, feature_class_name, sensor_id, sensor.name AS sensor_name, campaign_id, campaign.name AS campaign_name, "
+    f"{_bounds_sql('range_bin', bins.RANGE_BOUNDS, 'spherical_range')}, {_bounds_sql('zenith_bin', bins.ZENITH_BOUNDS, 'surface_zenith_angle')}, {_bounds_sql('azimuth_bin', bins.AZIMUTH_BOUNDS, 'surface_azimuth_angle')}, "
+    f"intensity_mean, intensity_stddev, intensity_min, {_PCT}, intensity_max, round(intensity_p75 - intensity_p25, 6) AS intensity_iqr, points_count::INTEGER AS points_count FROM stats JOIN sensor ON sensor.id = sensor_id JOIN campaign ON campaign.id = campaign_id JOIN info USING (feature_id)"
+)
 def signature_export(spark, sf):
-    s = signature_stats(spark, sf)
-    info = _t(spark, sf, "supplier").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("feature_id"), F.col("s_name").alias("feature_object_id"), F.col("n_name").alias("feature_class_name"))
-    lower, upper = (bins.bin_bound(F.col("range_bin"), bins.RANGE_BOUNDS, u) for u in (False, True))
-    return s.join(info, "feature_id").withColumns({"intensity_iqr": _r(F.col("intensity_p75") - F.col("intensity_p25")), "range_lower": lower, "range_upper": upper})
+    out = bins.exported(signature_stats(spark, sf), entities_of(spark, sf, "sensor"), entities_of(spark, sf, "campaign"), feature_info(spark, sf))
+    return out.withColumn("intensity_iqr", _r(F.col("intensity_iqr")))
+
 
+def _case_name(index: str, bounds, degrees: bool = False) -> str:
+    return f"list_extract([{', '.join(repr(n) for n in bins.bin_names(bounds, degrees))}], {index})"
 
-_METRICS = ("intensity_mean", "intensity_stddev", "intensity_min", "intensity_p25", "intensity_median", "intensity_p75", "intensity_max", "points_count")
 
+_LABEL = "'lidar_sensor_' || sensor_id || '_campaign_' || campaign_id || '_range_' || " + _case_name("range_bin", bins.RANGE_BOUNDS) + " || '_surface_zenith_angle_' || " + _case_name("zenith_bin", bins.ZENITH_BOUNDS, True) + " || '_surface_azimuth_angle_' || " + _case_name("azimuth_bin", bins.AZIMUTH_BOUNDS, True)
 
-@query(_BEAMS + f", {_STATS}, labelled AS (SELECT *, 'sensordb_' || sensor_id || '_' || campaign_id || '_' || range_bin || '_' || zenith_bin || '_' || azimuth_bin AS label FROM stats) " + " UNION ALL ".join(f"SELECT feature_id, 3 AS namespace_id, {3 if m == 'points_count' else 4} AS datatype_id, label || '_{m}' AS name, {'NULL::DOUBLE' if m == 'points_count' else m} AS val_float8, {'points_count' if m == 'points_count' else 'NULL::BIGINT'} AS val_int FROM labelled WHERE label IS NOT NULL AND {m} IS NOT NULL" for m in _METRICS))
+
+@query(
+    _BEAMS + f", {_STATS}, labelled AS (SELECT *, {_LABEL} AS label FROM stats) "
+    + " UNION ALL ".join(f"SELECT feature_id, 3 AS namespace_id, {3 if m == 'points_count' else 4} AS datatype_id, label || '_{m}' AS name, {'NULL::DOUBLE' if m == 'points_count' else m + '::DOUBLE'} AS val_float8, {'points_count::BIGINT' if m == 'points_count' else 'NULL::BIGINT'} AS val_int FROM labelled WHERE label IS NOT NULL AND {m} IS NOT NULL" for m in bins.METRICS)
+)
 def signature_properties(spark, sf):
-    s = signature_stats(spark, sf)
-    label = F.concat(F.lit("sensordb_"), "sensor_id", F.lit("_"), "campaign_id", F.lit("_"), "range_bin", F.lit("_"), "zenith_bin", F.lit("_"), "azimuth_bin")
-    rows = [F.struct(F.lit(3 if m == "points_count" else 4).alias("datatype_id"), F.concat(label, F.lit(f"_{m}")).alias("name"), (F.lit(None).cast("double") if m == "points_count" else F.col(m).cast("double")).alias("val_float8"), (F.col(m) if m == "points_count" else F.lit(None)).cast("long").alias("val_int")) for m in _METRICS]
-    out = s.select("feature_id", F.lit(3).alias("namespace_id"), F.explode(F.array(*rows)).alias("r")).select("feature_id", "namespace_id", "r.*")
-    return out.where(F.col("name").isNotNull() & F.when(F.col("datatype_id") == 4, F.col("val_float8").isNotNull()).when(F.col("datatype_id") == 3, F.col("val_int").isNotNull()).otherwise(False))
+    return bins.as_properties(signature_stats(spark, sf))
 
 
 def _events(spark, sf):
     e = _t(spark, sf, "events")
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    poses = e.where("event_type = 'click'").select("user_id", ns.alias("ts_ns"), V.point("value", F.col("event_id") % 100, F.col("event_id") % 7).alias("position"), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.sin(F.col("event_id") % 3 * 0.5).alias("z"), F.cos(F.col("event_id") % 3 * 0.5).alias("w")).alias("orientation"))
+    poses = e.where("event_type = 'click'").select(F.col("event_id").alias("id"), "user_id", ns.alias("ts_ns"), V.point("value", F.col("event_id") % 100, F.col("event_id") % 7).alias("position"), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.sin(F.col("event_id") % 3 * 0.5).alias("z"), F.cos(F.col("event_id") % 3 * 0.5).alias("w")).alias("orientation"))
     return poses, e.where("event_type <> 'click'").select("user_id", ns.alias("ts_ns"), "event_id")
 
 
@@ -168,13 +196,13 @@ _POSES = "WITH e AS (SELECT *, epoch_us(ts) * 1000 AS ts_ns FROM events), p AS (
 
 @query(_POSES + "SELECT event_id, pt AS prev_ns, nt AS next_ns, px AS prev_x, nx AS next_x FROM b")
 def pose_prev_next(spark, sf):
-    n = asof.neighbours(*_events(spark, sf), "user_id", "ts_ns", ["position", "orientation"])
+    n = asof.neighbours(*_events(spark, sf), "user_id", "ts_ns", ["position", "orientation"], tie="id")
     return n.select("event_id", F.col("prev.ts_ns").alias("prev_ns"), F.col("next.ts_ns").alias("next_ns"), F.col("prev.position.x").alias("prev_x"), F.col("next.position.x").alias("next_x"))
 
 
 @query(_POSES + ", c AS (SELECT *, CASE WHEN pt IS NULL OR nt IS NULL OR pt = ts_ns THEN NULL ELSE (ts_ns - pt)::DOUBLE / (nt - pt)::DOUBLE END AS r FROM b) SELECT event_id, " + ", ".join(f"round(coalesce(p{k} + (n{k} - p{k}) * r, p{k}, n{k}), 6) AS {k}" for k in "xyz") + ", round(sin(coalesce(pturn + (nturn - pturn) * r, pturn, nturn)), 6) AS qz FROM c")
 def pose_interpolated(spark, sf):
-    n = asof.neighbours(*_events(spark, sf), "user_id", "ts_ns", ["position", "orientation"])
+    n = asof.neighbours(*_events(spark, sf), "user_id", "ts_ns", ["position", "orientation"], tie="id")
     position, orientation = asof.interpolated("ts_ns")
     n = n.select("event_id", position.alias("p"), orientation.alias("q"))
     return n.select("event_id", *[_r(F.col(f"p.{c}")).alias(c) for c in "xyz"], _r(F.col("q.z")).alias("qz"))
@@ -316,11 +344,21 @@ def cell_view(spark, sf):
     return c.select("user_id", "point_count", F.round(F.col("t0") / 1e6).cast("long").alias("start_epoch"), F.round((F.col("t1") - F.col("t0")) / 1e6).cast("long").alias("duration"), _r(volume, 3).alias("volume"), _r(F.try_divide(F.col("point_count"), F.nullif(volume, F.lit(0.0))), 9).alias("points_per_m3"), F.col("lo").alias("xmin"), F.col("hi").alias("xmax"))
 
 
-@query()
+_DEPTH, _LEAF = 6, 500
+_OCTREE = (
+    "WITH pt AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) l_suppkey % 10 * 10.0::DOUBLE + l_tax * 20 - 0.31 AS x, floor(l_suppkey / 10) * 10.0::DOUBLE + l_discount * 15 - 0.21 AS y, (l_quantity - 25) / 40 AS z FROM lineitem), "
+    "r AS (SELECT min(x) AS xlo, min(y) AS ylo, min(z) AS zlo, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS side FROM pt), "
+    f"d AS (SELECT pt.*, " + ", ".join(f"least(floor(({c} - {c}lo) / CASE WHEN side > 0 THEN side ELSE 1.0 END * {1 << _DEPTH})::INTEGER, {(1 << _DEPTH) - 1}) AS d{c}" for c in "xyz") + " FROM pt, r), "
+    + "o AS (" + " UNION ALL ".join(f"SELECT x, y, z, dx, dy, dz, {k} AS level, dx >> {_DEPTH - k} AS cell_x, dy >> {_DEPTH - k} AS cell_y, dz >> {_DEPTH - k} AS cell_z FROM d" for k in range(_DEPTH + 1)) + "), "
+    + f"n AS (SELECT *, count(*) OVER (PARTITION BY level, cell_x, cell_y, cell_z) AS n FROM o), s AS (SELECT *, min(CASE WHEN n <= {_LEAF} OR level = {_DEPTH} THEN level END) OVER (PARTITION BY dx, dy, dz) AS leaf FROM n) "
+)
+
+
+@query(_OCTREE + "SELECT level, cell_x, cell_y, cell_z, count(*) AS points, " + ", ".join(f"round({f}({c}), 6) + 0.0 AS {c}{f}" for c in "xyz" for f in ("min", "max")) + " FROM s WHERE level = leaf GROUP BY ALL")
 def octree_cells(spark, sf):
     points, key = _hits(spark, sf)
     flat = points.select(*key, "position.*")
-    return octree.octants(flat, max_points=500, depth=6).groupBy("level", "cell_x", "cell_y", "cell_z").agg(F.count("*").alias("points"), *[f(c).alias(f"{c}{s}") for c in "xyz" for s, f in (("min", F.min), ("max", F.max))])
+    return octree.octants(flat, max_points=_LEAF, depth=_DEPTH).groupBy("level", "cell_x", "cell_y", "cell_z").agg(F.count("*").alias("points"), *[_r(f(c)).alias(f"{c}{s}") for c in "xyz" for s, f in (("min", F.min), ("max", F.max))])
 
 
 @query("SELECT user_id, count(*) AS poses, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS line FROM events WHERE event_type = 'click' GROUP BY ALL")
@@ -355,11 +393,12 @@ def exclude_class(spark, sf):
     return _t(spark, sf, "supplier").join(gone, "s_nationkey", "left_anti").select("s_suppkey")
 
 
-@query("SELECT event_type AS topic, CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 3600000000) AS BIGINT) AS slice, count(*) AS messages FROM events GROUP BY ALL")
+@query("WITH m AS (SELECT event_type, epoch_us(ts) * 1000 AS ns, min(epoch_us(ts) * 1000) OVER () AS a, max(epoch_us(ts) * 1000) OVER () AS b FROM events) SELECT event_type AS topic, least((ns - a) // 3600000000000, greatest(1, CAST(ceil((b - a) / 3600000000000) AS BIGINT)) - 1)::BIGINT AS slice, count(*) AS messages FROM m GROUP BY ALL")
 def time_slices(spark, sf):
-    e = _t(spark, sf, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    first = e.agg(F.min("us").alias("first"))
-    return e.crossJoin(F.broadcast(first)).groupBy(F.col("event_type").alias("topic"), F.floor((F.col("us") - F.col("first")) / 3_600_000_000).alias("slice")).agg(F.count("*").alias("messages"))
+    e = _t(spark, sf, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ns"))
+    span = e.agg(F.min("ns").alias("first"), F.max("ns").alias("last"))
+    sliced = e.crossJoin(F.broadcast(span)).select(F.col("event_type").alias("topic"), slice_index(F.col("ns"), F.col("first"), F.col("last"), 3600 * 10**9).cast("long").alias("slice"))  # one row
+    return sliced.groupBy("topic", "slice").agg(F.count("*").alias("messages"))
 
 
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY o_orderpriority) AS id, o_orderpriority AS name FROM (SELECT DISTINCT o_orderpriority FROM orders)")
