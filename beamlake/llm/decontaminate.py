@@ -5,7 +5,6 @@ document against the benchmark items in blocks, then the longest common subseque
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -15,66 +14,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, carried, map_arrow, mixed, one_blas_thread, removed, table, written
+from beamlake.llm.base import U64, carried, map_arrow, mixed, one_blas_thread, removed, stretch_hashes, stretches, table, written
 
-#: Hashed features and latent dimensions.
-FEATURES, RANK = 1 << 15, 64
+#: Hashed features, latent dimensions and columns of the sketch beyond them, words of a passage that is counted.
+FEATURES, RANK, OVERSAMPLED, PASSAGE = 1 << 15, 64, 8, 64
 #: Passage lengths; an item is sought in passages of the length nearest to its own, a quarter of it apart.
 SCALES = (8, 16, 32, 64, 128, 256)
 #: Least cosine of a candidate; share of an item's words in order that is a match by itself, or with its answer; the answer's part.
 COSINE, CERTAIN, LIKELY, ANSWER, ANSWER_SHARE = 0.4, 0.8, 0.65, 0.25, 0.75
 #: Features that travel together.
 BLOCK = 512
-#: Words of a document whose passages are searched at once, and bytes that are hashed at once.
-CHUNK, PIECE_BYTES = 1 << 14, 1 << 20
+#: Words whose passages are searched at once.
+CHUNK = 1 << 14
 _MARKS = b".,;:!?\"'()[]|/-"
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: By byte: 0 part of a word, 1 a mark, 2 white space; and what it counts in a hash.
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_MARKS)] = 1
 _KIND[[0x20, *range(0x09, 0x0E)]] = 2
-_ODD = 0x9E3779B97F4A7C15
-_VALUE = mixed(np.arange(1, 257, dtype=U64) * U64(_ODD))
+_VALUE = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _state: dict = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, as many as asked for."""
-    if len(_state.get("powers", ((),))[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        _state["powers"] = tuple(np.cumprod(np.append(U64(1), np.full(size - 1, base, U64))) for base in (_ODD, pow(_ODD, -1, 1 << 64)))
-    return _state["powers"]
-
-
-def _piece_tokens(raw: np.ndarray) -> np.ndarray:
+def _piece_tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word."""
     kind = _KIND[raw]
     core = np.flatnonzero(kind == 0)
     if not len(core):
-        return np.empty(0, U64)
+        return core, np.empty(0, U64)
     gap = np.flatnonzero(core[1:] - core[:-1] > 1)
     spaces = np.cumsum(kind == 2, dtype=np.int32)
     gap = gap[spaces[core[gap + 1]] > spaces[core[gap]]]  # marks alone do not part words
     first, last = core[np.append(0, gap + 1)], core[np.append(gap, len(core) - 1)]
-    up, down = _powers(len(raw))
-    total = np.cumsum(_VALUE[raw] * up[: len(raw)])
-    before = np.where(first > 0, total[first - 1], U64(0))
-    return mixed((total[last] - before) * down[first])
+    return first, mixed(stretch_hashes(raw, first, last + 1, _VALUE))
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Word hashes without marks around them; runs of marks alone give nothing.
+def tokens_of(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text its word hashes without marks around words; runs of marks alone give nothing. Long texts go piece by piece."""
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"\n".join(raws).lower()
+    every, places, hashed = np.frombuffer(raw, np.uint8), [np.empty(0, np.int64)], [np.empty(0, U64)]
+    for at, end in stretches(raw, b" \n"):
+        first, h = _piece_tokens(every[at:end])
+        places.append(first + at)
+        hashed.append(h)
+    places, hashed = np.concatenate(places), np.concatenate(hashed)
+    cut = np.searchsorted(places, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+    return [hashed[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
-    A word's hash is a polynomial of its bytes, taken from running sums; long texts go piece by piece, cut at white space."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    if len(raw) <= PIECE_BYTES:
-        return _piece_tokens(np.frombuffer(raw, np.uint8))
-    out, at = [], 0
-    while at < len(raw):
-        cut = _SPACE.search(raw, at + PIECE_BYTES)
-        end = cut.start() if cut else len(raw)
-        out.append(_piece_tokens(np.frombuffer(raw, np.uint8, end - at, at)))
-        at = end
-    return np.concatenate(out)
+
+def tokens(text: str | None) -> np.ndarray:
+    return tokens_of([text])[0]
 
 
 def features(h: np.ndarray) -> np.ndarray:
@@ -143,24 +132,57 @@ def _emit(matrix: np.ndarray):
     yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part] * blocks, pa.int32()), pa.array(list(v), pa.list_(pa.float32()))], names=["block", "part", "v"])
 
 
-def _passages(f: np.ndarray, size: int = 64) -> list[np.ndarray]:
-    return [f[i : i + size] for i in range(0, max(1, len(f)), size)]
+def _occurrences(docs: list[np.ndarray], size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(passage, feature, times found) of every feature in every passage of the texts, and the number of passages."""
+    length = np.array([len(f) for f in docs], np.int64)
+    count = -(-length // size)
+    end, first = np.cumsum(length), np.cumsum(count) - count
+    place = np.arange(int(length.sum())) - np.repeat(end - length, length)
+    key = np.sort((place // size + np.repeat(first, length)) << 16 | np.concatenate([*docs, np.empty(0, np.uint16)]).astype(np.int64))
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    return key[edge] >> 16, key[edge] & 0xFFFF, np.diff(np.append(edge, len(key))), int(count.sum())
+
+
+def _by_words(texts, most: int = 1 << 15):
+    """Lists of feature arrays, each of some `most` words."""
+    held, n = [], 0
+    for f in texts:
+        for at in range(0, len(f), most // PASSAGE * PASSAGE):
+            held.append(f[at : at + most // PASSAGE * PASSAGE])
+            n += len(held[-1])
+            if n >= most:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def decomposed(start: np.ndarray, product: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leading singular vectors, singular values) of A from product = (A^T A) start, by the single-pass form of the randomised method:
+    with start^T product = L L^T, product L^-T has the singular vectors of A, and values that are the squares of A's, nearly."""
+    product = product.astype(np.float64)
+    shift = 1e-7 * max(1e-12, float(np.linalg.norm(product)))
+    small = start.T.astype(np.float64) @ (product + shift * start)
+    root = np.linalg.cholesky((small + small.T) / 2 + 1e-12 * np.trace(small) * np.eye(len(small)))
+    vectors, values, _ = np.linalg.svd(np.linalg.solve(root, (product + shift * start).T).T, full_matrices=False)
+    return vectors[:, :rank], np.sqrt(np.maximum(values[:rank] ** 2 - shift, 0))
 
 
 def fit(docs: DataFrame, items: list[np.ndarray], rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """(idf by feature, weighted projection features x rank). Passage frequencies and the sketch (A^T A) R of the TF-IDF matrix A are
-    gathered by feature block from all documents, whose features are written once; the items count as passages too."""
+    """(idf by feature, weighted projection features x rank). Passage frequencies and the sketch (A^T A) R of the TF-IDF matrix A, with
+    a few columns more than the rank, are gathered by feature block from all documents, whose features are written once; the items
+    count as passages too."""
     schema, seed = "block int, part int, v array<float>", 11
-    spark = docs.sparkSession
-    hashed = written(map_arrow(docs.select("text"), lambda batch: {"f": pa.array([features(tokens(t)).astype(np.uint16).tobytes() for t in batch.column(0).to_pylist()], pa.binary())}, "f binary"), "features")
+    spark, width = docs.sparkSession, rank + OVERSAMPLED
+    hashed = written(map_arrow(docs.select("text"), lambda batch: {"f": pa.array([features(h).astype(np.uint16).tobytes() for h in tokens_of(batch.column(0).to_pylist())], pa.binary())}, "f binary"), "features")
+    texts = lambda batches: (np.frombuffer(f, np.uint16) for batch in batches for f in batch.column(0).to_pylist())
 
     def frequency(batches):
         df = np.zeros(FEATURES + BLOCK)  # then the number of passages
-        for batch in batches:
-            for f in batch.column(0).to_pylist():
-                for p in _passages(np.frombuffer(f, np.uint16)):
-                    df[np.unique(p)] += 1
-                    df[FEATURES] += 1
+        for group in _by_words(texts(batches)):
+            _, feature, _, n = _occurrences(group)
+            df += np.bincount(feature, minlength=len(df))
+            df[FEATURES] += n
         yield from _emit(df)
 
     counted = _summed(hashed.mapInArrow(frequency, schema), 1)[:, 0]
@@ -168,26 +190,29 @@ def fit(docs: DataFrame, items: list[np.ndarray], rank: int = RANK) -> tuple[np.
     for h in items:
         df[np.unique(features(h))] += 1
     idf = (np.maximum(np.log((n + 10) / (df + 5)), 0) + 0.1).astype(np.float32)
+    begin = lambda: np.random.default_rng(seed).normal(size=(FEATURES, width)).astype(np.float32)
 
-    def product(parts) -> np.ndarray:
-        start = np.random.default_rng(seed).normal(size=(FEATURES, rank)).astype(np.float32)
-        out = np.zeros((FEATURES, rank), np.float32)
-        for p in parts:
-            if not len(p):
+    def product(groups) -> np.ndarray:
+        start, out = begin(), np.zeros((FEATURES, width), np.float32)
+        for group in groups:
+            passage, feature, times, n = _occurrences(group)
+            if not n:
                 continue
-            at, tf = np.unique(p, return_counts=True)
-            w = tf * idf[at]
-            w = (w / np.linalg.norm(w)).astype(np.float32)
-            out[at] += w[:, None] * (w @ start[at])
+            w = times * idf[feature]
+            w = (w / np.sqrt(np.bincount(passage, w * w, n))[passage]).astype(np.float32)
+            used, of = np.unique(feature.astype(np.uint16), return_inverse=True)
+            part = np.zeros((n, len(used)), np.float32)  # these rows of A, the columns that they use
+            part[passage, of] = w
+            out[used] += part.T @ (part @ start[used])
         return out
 
     def sketch(batches):
         one_blas_thread()
-        yield from _emit(product(p for batch in batches for f in batch.column(0).to_pylist() for p in _passages(np.frombuffer(f, np.uint16))))
+        yield from _emit(product(_by_words(texts(batches), 1 << 12)))
 
-    total = _summed(hashed.mapInArrow(sketch, schema), rank)[:FEATURES] + product([features(h) for h in items])
+    total = _summed(hashed.mapInArrow(sketch, schema), width)[:FEATURES] + product([[features(h).astype(np.uint16)] for h in items])
     removed(spark, hashed)
-    basis, _ = np.linalg.qr(total.astype(np.float64))
+    basis, _ = decomposed(begin(), total, rank)
     return idf, (idf[:, None] * basis).astype(np.float32)
 
 
@@ -204,8 +229,7 @@ def _index(mark: str, shared):
     """Item vectors and words by passage length, made once in each worker."""
     if mark not in _state:
         one_blas_thread()
-        for k in set(_state) - {"powers"}:
-            del _state[k]
+        _state.clear()
         items, projection = shared.value
         items = [(i, h, set(h.tolist())) for i, h in items]
         vocabulary = np.unique(np.concatenate([h for _, h, _ in items])) if items else np.empty(0, U64)
@@ -218,64 +242,70 @@ def _index(mark: str, shared):
     return _state[mark]
 
 
-def _candidates(h: np.ndarray, projection: np.ndarray, by: dict, vocabulary: np.ndarray):
-    """(passage start, scale, item) wherever the cosine is COSINE or more and enough words are the item's.
+def _candidates(docs: list[np.ndarray], projection: np.ndarray, by: dict, vocabulary: np.ndarray):
+    """(document, passage start, scale, item) wherever enough words are the item's and the cosine is COSINE or more.
 
-    A common subsequence is no longer than the count of the passage's words that the item holds, so that bound loses no match.
-    A passage is four blocks of a quarter of its length; blocks and passages of one length add up to those of twice the length."""
+    A common subsequence is no longer than the count of words near the passage that the item holds, so the count loses no match, and it
+    is what is cheap: documents stand in one stream, each from a block's edge on, whose blocks of a quarter of a passage are counted for
+    all items at once (words of a neighbour only raise a count). Vectors are made for the passages that are left."""
     least, widest = min(by), max(by)
-    place = np.searchsorted(vocabulary, h)
-    place[vocabulary[np.minimum(place, len(vocabulary) - 1)] != h] = len(vocabulary)
-    for begin in range(0, len(h), CHUNK):
-        f = features(h[begin : begin + CHUNK + widest])
-        step = least // 4
-        at = np.full(-(-len(f) // (widest // 4)) * (widest // 4), len(projection) - 1)  # the last row is empty
-        at[: len(f)] = f
-        blocks = projection[at].reshape(-1, step, projection.shape[1])
-        blocks = np.add.reduce(blocks, axis=1) if step > 1 else blocks[:, 0]
-        for scale in (s for s in SCALES if least <= s <= widest):
-            step = scale // 4
-            if len(blocks) * step > len(at):
-                blocks = blocks[::2] + blocks[1::2]
-            if scale not in by:
-                continue
-            n = max(1, -(-len(f) // step) - 3)
-            v = blocks[:n].copy()
-            for i in range(1, 4):
-                more = blocks[i : i + n]
-                v[: len(more)] += more
-            bound = COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
-            which, vectors, held, (size, need) = by[scale]
-            for block in range(0, len(which), 1024):  # the query set in blocks
-                row, item = np.nonzero(v @ vectors[:, block : block + 1024] >= bound)
+    length = np.array([len(h) for h in docs], np.int64)
+    room = -(-np.maximum(length, 1) // (widest // 4)) * (widest // 4)
+    begin = np.cumsum(room) - room
+    every = np.concatenate([*docs, np.empty(0, U64)])
+    place = np.full(int(room.sum()), len(vocabulary))  # the last row of what items hold is empty
+    found = np.searchsorted(vocabulary, every)
+    found[vocabulary[np.minimum(found, len(vocabulary) - 1)] != every] = len(vocabulary)
+    place[np.arange(len(every)) + np.repeat(begin - (np.cumsum(length) - length), length)] = found
+    for scale, (which, vectors, held, (size, need)) in by.items():
+        step, blocks = scale // 4, len(place) // (scale // 4)
+        for block in range(0, len(which), 1024):  # the query set in blocks
+            items = slice(block, block + 1024)
+            side = 1 + -(-max(0, int(size[items].max()) - scale) // step)
+            for at in range(0, blocks, CHUNK // step):
+                rows = np.arange(at, min(blocks, at + CHUNK // step))
+                first, last = max(0, at - side), min(blocks, int(rows[-1]) + 4 + side)
+                count = np.zeros((last - first + 1, held[:, items].shape[1]), np.uint16)  # sums may wrap around, their differences are right
+                np.cumsum(held[:, items][place[first * step : last * step]].reshape(last - first, step, -1).sum(axis=1, dtype=np.uint16), axis=0, out=count[1:], dtype=np.uint16)
+                near = count[np.minimum(rows + 4 + side, last) - first] - count[np.maximum(rows - side, first) - first]
+                row, item = np.nonzero(near >= need[items].astype(np.uint16))
                 if not len(row):
                     continue
-                used, at_item = np.unique(item, return_inverse=True)
-                more = scale // 4 + np.maximum(0, size[block + item] - scale)
-                low, high = begin + row * step - more, begin + row * step + scale + more
-                first = max(0, int(low.min()))
-                near = place[first : int(high.max())]
-                count = np.zeros((len(near) + 1, len(used)), np.int32)
-                np.cumsum(held[:, block + used][near], axis=0, out=count[1:])
-                low, high = np.maximum(low - first, 0), np.minimum(high - first, len(near))
-                enough = count[high, at_item] - count[low, at_item] >= need[block + item]
-                row, item = row[enough], item[enough]
-                yield from zip((begin + row * step).tolist(), [scale] * len(row), which[block + item].tolist(), strict=True)
-
-
-def find_leaks(h: np.ndarray, items: list, projection: np.ndarray, by: dict, vocabulary: np.ndarray) -> dict[int, float]:
-    """Best share of each benchmark item that the document's words match."""
-    found: dict[int, float] = {}
-    for start, scale, k in _candidates(h, projection, by, vocabulary):
+                start = rows[row] * step
+                doc = np.searchsorted(begin, start, "right") - 1
+                start -= begin[doc]
+                real = start // step < np.maximum(1, -(-length[doc] // step) - 3)
+                doc, start, item = doc[real], start[real], item[real]
+                # the words of just this document and just as near as this item needs
+                more = scale // 4 + np.maximum(0, size[items][item] - scale)
+                low, high = np.maximum(0, start - more) + begin[doc], np.minimum(length[doc], start + scale + more) + begin[doc]
+                enough = np.zeros(len(doc), bool)
+                for i in range(0, len(doc), 4096):
+                    j = slice(i, i + 4096)
+                    word = low[j, None] + np.arange(int((high[j] - low[j]).max()))
+                    word = np.where(word < high[j, None], place[np.minimum(word, len(place) - 1)], len(vocabulary))
+                    enough[j] = held[word, block + item[j, None]].sum(axis=1, dtype=np.int32) >= need[items][item[j]]
+                doc, start, item = doc[enough], start[enough], item[enough]
+                passages, of = np.unique(doc << 40 | start, return_inverse=True)
+                v = np.stack([projection[features(docs[p >> 40][(p & (1 << 40) - 1) :][:scale])].sum(0) for p in passages.tolist()]) if len(passages) else np.empty((0, projection.shape[1]), np.float32)
+                norm = np.maximum(np.sqrt((v * v).sum(1)), 1e-9)
+                alike = np.einsum("ij,ij->i", v[of], vectors[:, items].T[item]) >= COSINE * norm[of]
+                yield from zip(doc[alike].tolist(), start[alike].tolist(), [scale] * int(alike.sum()), which[block + item[alike]].tolist(), strict=True)
+
+
+def find_leaks(docs: list[np.ndarray], items: list, projection: np.ndarray, by: dict, vocabulary: np.ndarray) -> list[dict[int, float]]:
+    """For each document the best share of each benchmark item that its words match."""
+    found: list[dict[int, float]] = [{} for _ in docs]
+    for doc, start, scale, k in _candidates(docs, projection, by, vocabulary):
         words = items[k][1]
         more = scale // 4 + max(0, len(words) - scale)
-        passage = h[max(0, start - more) : start + scale + more]
+        passage = docs[doc][max(0, start - more) : start + scale + more]
         # words that are absent bound the common subsequence
         if 1 - len(items[k][2].difference(passage.tolist())) / len(words) < LIKELY:
             continue
         share = matches(words, passage)
-        if share > found.get(k, 0.0):
-            found[k] = share
+        if share > found[doc].get(k, 0.0):
+            found[doc][k] = share
     return found
 
 
@@ -291,11 +321,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, others: tuple[str, ...] = ()) -
 
     def search(batch):
         items, projection, by, vocabulary = _index(mark, shared)
-        found = [find_leaks(tokens(t), items, projection, by, vocabulary) if by else {} for t in batch.column(1).to_pylist()]
+        found = find_leaks(tokens_of(batch.column(1).to_pylist()), items, projection, by, vocabulary) if by else [{}] * batch.num_rows
         ids = [sorted((items[k][0] for k in f), key=lambda x: (x is not None, x)) for f in found]
         return {"doc_id": batch.column(0), "item_ids": pa.array(ids, pa.list_(pa.int64())), "best_share": pa.array([max(f.values(), default=0.0) for f in found]), "kept": pa.array([not f for f in found], pa.bool_())} | {c: batch.column(2 + i) for i, c in enumerate(others)}
 
-    return map_arrow(docs.select("doc_id", "text", *others), search, "doc_id long, item_ids array<long>, best_share double, kept boolean" + carried(docs, others))
+    return map_arrow(docs.select("doc_id", "text", *others), search, "doc_id long, item_ids array<long>, best_share double, kept boolean" + carried(docs, others), rows=128)
 
 
 def op8_latent_semantic_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
