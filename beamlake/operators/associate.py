@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from beamlake.functions.geometry import azimuth, box_of, boxes_meet, edges, zenith
 from beamlake.functions.vector import line_plane_parameter, sub
 from beamlake.operators.kernel import polygon_distance, polygon_meets_box
+from beamlake.operators.payload import ordered
 
 _XYZ = "xyz"
 #: What the beam variant measures, and what both have.
@@ -140,5 +141,4 @@ def candidate_count(points: DataFrame, polygons: DataFrame, buffer: float) -> Da
 
 def packed_measures(points: DataFrame, cell: str, index: str) -> DataFrame:
     """A row for each cell: each measure as an array in point order, nulls included."""
-    rows = F.array_sort(F.collect_list(F.struct(index, *MEASURES)))
-    return points.groupBy(cell).agg(rows.alias("r")).select(cell, *[F.transform("r", lambda r, m=m: r[m]).alias(m) for m in MEASURES])
+    return points.groupBy(cell).agg(*[ordered(F.col(index), F.col(m)).alias(m) for m in MEASURES])

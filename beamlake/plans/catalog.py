@@ -307,12 +307,13 @@ def positional_join(spark, sf):
 
 
 def _hits(spark, sf):
-    x, y, z = F.col("l_suppkey") % 10 * 10.0 + F.col("l_tax") * 20 - 0.31, F.floor(F.col("l_suppkey") / 10) * 10.0 + F.col("l_discount") * 15 - 0.21, (F.col("l_quantity") - 25) / 40
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return _t(spark, sf, "lineitem").select(*key, V.point(x, y, z).alias("position")).dropDuplicates(key), key
+    least = _t(spark, sf, "lineitem").groupBy(*key).agg(F.min(F.struct("l_quantity", "l_tax", "l_discount")).alias("m"))
+    x, y, z = F.col("l_suppkey") % 10 * 10.0 + F.col("m.l_tax") * 20 - 0.31, F.floor(F.col("l_suppkey") / 10) * 10.0 + F.col("m.l_discount") * 15 - 0.21, (F.col("m.l_quantity") - 25) / 40
+    return least.select(*key, V.point(x, y, z).alias("position")), key
 
 
-_HITS = "WITH pt AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax * 20 - 0.31 AS x, l_discount * 15 - 0.21 AS y, (l_quantity - 25) / 40 AS z FROM lineitem), c AS (SELECT pt.*, l_suppkey * 2 + layer AS polygon_id, greatest(-x, x - 1, 0) AS dx, greatest(-y, y - 1, 0) AS dy, z - layer * 0.3::DOUBLE AS h FROM pt, (SELECT unnest([0, 1]) AS layer)) "
+_HITS = "WITH pt AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax * 20 - 0.31 AS x, l_discount * 15 - 0.21 AS y, (l_quantity - 25) / 40 AS z FROM lineitem ORDER BY l_quantity, l_tax, l_discount), c AS (SELECT pt.*, l_suppkey * 2 + layer AS polygon_id, greatest(-x, x - 1, 0) AS dx, greatest(-y, y - 1, 0) AS dy, z - layer * 0.3::DOUBLE AS h FROM pt, (SELECT unnest([0, 1]) AS layer)) "
 
 
 @query(_HITS + ", d AS (SELECT *, sqrt(dx * dx + dy * dy + h * h)::FLOAT AS dist FROM c), b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY dist, polygon_id) AS n FROM d WHERE dist <= 0.5::FLOAT) SELECT pt.l_orderkey, pt.l_linenumber, pt.l_partkey, pt.l_suppkey, polygon_id, round(dist::DOUBLE, 4) AS surface_distance FROM pt LEFT JOIN b ON b.l_orderkey = pt.l_orderkey AND b.l_linenumber = pt.l_linenumber AND b.l_partkey = pt.l_partkey AND b.l_suppkey = pt.l_suppkey AND n = 1")
@@ -346,7 +347,7 @@ def cell_view(spark, sf):
 
 _DEPTH, _LEAF = 6, 500
 _OCTREE = (
-    "WITH pt AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) l_suppkey % 10 * 10.0::DOUBLE + l_tax * 20 - 0.31 AS x, floor(l_suppkey / 10) * 10.0::DOUBLE + l_discount * 15 - 0.21 AS y, (l_quantity - 25) / 40 AS z FROM lineitem), "
+    "WITH pt AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) l_suppkey % 10 * 10.0::DOUBLE + l_tax * 20 - 0.31 AS x, floor(l_suppkey / 10) * 10.0::DOUBLE + l_discount * 15 - 0.21 AS y, (l_quantity - 25) / 40 AS z FROM lineitem ORDER BY l_quantity, l_tax, l_discount), "
     "r AS (SELECT min(x) AS xlo, min(y) AS ylo, min(z) AS zlo, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS side FROM pt), "
     f"d AS (SELECT pt.*, " + ", ".join(f"least(floor(({c} - {c}lo) / CASE WHEN side > 0 THEN side ELSE 1.0 END * {1 << _DEPTH})::INTEGER, {(1 << _DEPTH) - 1}) AS d{c}" for c in "xyz") + " FROM pt, r), "
     + "o AS (" + " UNION ALL ".join(f"SELECT x, y, z, dx, dy, dz, {k} AS level, dx >> {_DEPTH - k} AS cell_x, dy >> {_DEPTH - k} AS cell_y, dz >> {_DEPTH - k} AS cell_z FROM d" for k in range(_DEPTH + 1)) + "), "

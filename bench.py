@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from beamlake.plans.catalog import QUERIES
+from beamlake.plans import QUERIES
 
 HEADLINE = ("signature_stats", "signature_export", "sensor_stats", "range_histogram", "class_name_campaign_sensor", "pose_interpolated", "rotate_vectors", "positional_join", "octree_cells", "assoc_point_top1", "assoc_beam_top1", "cell_view")
 
