@@ -10,22 +10,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, components, hashes, map_arrow, mixed, one_blas_thread, runs_hashed, table, words_of, written
+from beamlake.llm.base import U64, components, map_arrow, mixed, one_blas_thread, runs_hashed, table, text_hashes, written
 
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^5)^32 < 4e-6.
 BANDS, BAND_ROWS = 32, 5
-#: Ids of a bucket up to which its pairs are listed; ids of a block beyond.
-SMALL_BUCKET, BLOCK = 8, 256
+#: Ids of a bucket up to which its pairs are listed, and ids of a block beyond; parts of a key, and ids up to which they have one pivot.
+SMALL_BUCKET, BLOCK, PARTS, WIDE = 8, 256, 32, 64
 _SHIFT = U64(48)
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of k words (of all words if there are fewer)."""
-    h = hashes(words_of(text, lower=True))
-    return np.unique(runs_hashed(h, min(k, len(h)))[0]) if len(h) else h
+def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of the runs of k words (of all words if there are fewer)."""
+    return [np.unique(runs_hashed(h, min(k, len(h)))[0]) if len(h) else h for h in text_hashes(texts, lower=True)]
 
 
 def super_minhash(elements: np.ndarray, m: int) -> np.ndarray:
@@ -63,8 +62,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     def sign(batch):
         n, digests, keys = [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, k)
+        for s in shingles(batch.column(1).to_pylist(), k):
             n.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             keys.append(band_keys(super_minhash(s, bands * rows), bands, rows).view(np.int64) if len(s) else None)
@@ -121,18 +119,36 @@ def block_links(left: list, right: list, percent: int, same: bool) -> list[tuple
     return list(out.values())
 
 
+def buckets(keyed: DataFrame) -> DataFrame:
+    """(key, part, id, low, least, n) of keyed(key, id), for keys of several ids: part is one of PARTS a key's ids are dealt to, low the
+    part's least id, least and n the key's. All is counted by partial sums and joined by key and part, so that a key that a large share of all
+    documents have is no one's task."""
+    dealt = keyed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    parts = dealt.groupBy("key", "part").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    whole = parts.groupBy("key").agg(F.min("low").alias("least"), F.sum("n").alias("n")).where("n > 1")
+    return dealt.join(parts.select("key", "part", "low").join(whole, "key"), ["key", "part"])
+
+
+def in_blocks(ids: DataFrame) -> DataFrame:
+    """ids(family, c, id) with their block (of_c, k) of some BLOCK ids: large components have blocks of their own (of_c is the component),
+    small ones share blocks (of_c is -1). Sizes are partial sums; no family is sorted or numbered."""
+    sizes = ids.groupBy("family", "c").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= BLOCK).groupBy("family").agg(F.sum("n").alias("pooled"))
+    dealt = sizes.join(small, "family", "left").select("family", "c", F.when(F.col("n") > BLOCK, F.col("c")).otherwise(-1).alias("of_c"), F.ceil(F.when(F.col("n") > BLOCK, F.col("n")).otherwise(F.col("pooled")) / BLOCK).alias("blocks"))
+    k = F.pmod(F.xxhash64(F.when(F.col("of_c") < 0, F.col("c")).otherwise(F.col("id"))), F.col("blocks")).cast("int")
+    return ids.join(dealt, ["family", "c"]).select("family", "c", "id", "of_c", k.alias("k"))
+
+
 def crowded_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components within families: ids joined by crowded buckets. A family is cut into blocks of BLOCK ids, ordered by
-    component; blocks are compared with each other, except where both lie in one component, so that no pair is a row."""
-    heads = members.groupBy("key").agg(F.min("id").alias("head"))
-    families = components(members.join(heads, "key").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    ids = members.select("id", "c").distinct().join(families.withColumnRenamed("component", "family"), "id")
-    order = Window.partitionBy("family").orderBy("c", "id")
-    ids = written(ids.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "families")
-    blocks = ids.groupBy("family", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    other = blocks.select("family", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
-    cells = written(blocks.withColumnRenamed("block", "i").join(other, "family").where("i <= j and not (lo = hi and lo_j = hi_j and lo = lo_j)").select("family", "i", "j"), "cells")
-    rows = ids.join(sets, "id")
+    """Links across components within families: ids joined by crowded buckets. A family is cut into blocks; blocks are compared with each
+    other, except where both lie in one component, so that no pair is a row."""
+    families = components(members.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    named = members.select("id", "c").distinct().join(families.withColumnRenamed("component", "family"), "id")
+    ids = written(in_blocks(named), "families")
+    blocks = ids.select("family", F.struct("of_c", "k").alias("i")).distinct()
+    apart = "i <= j and not (i.of_c = j.of_c and i.of_c >= 0)"
+    cells = written(blocks.join(blocks.withColumnRenamed("i", "j"), "family").where(apart), "cells")
+    rows = ids.withColumn("block", F.struct("of_c", "k")).join(sets, "id").select("family", "block", "id", "c", "items")
     one = cells.join(rows.withColumnRenamed("block", "i"), ["family", "i"]).select("family", "i", "j", F.lit(0).alias("side"), "id", "c", "items")
     two = cells.where("i < j").join(rows.withColumnRenamed("block", "j"), ["family", "j"]).select("family", "i", "j", F.lit(1).alias("side"), "id", "c", "items")
 
@@ -146,21 +162,23 @@ def crowded_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, component) over members(key, id): ids of one key with similar sets are linked.
-
-    First each bucket's ids are compared with its least one. Buckets that still span several components are done in full: small ones
-    pair by pair (each pair once, however many buckets it shares), the others by blocks of their families."""
-    pivot = members.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = members.join(pivot, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    """(id, component) over members as of buckets(): ids of one key with similar sets are linked.
+
+    First each bucket's ids are compared with its least one, or, in a wide bucket, with their part's, and these with the bucket's. Buckets
+    that still span several components are done in full: small ones pair by pair (each pair once, however many buckets it shares), the
+    others by blocks of their families."""
+    wide = F.col("n") > WIDE
+    star = members.select(F.when(wide, F.col("low")).otherwise(F.col("least")).alias("a"), F.col("id").alias("b"))
+    heads = members.where(wide & (F.col("id") == F.col("low"))).select(F.col("least").alias("a"), F.col("low").alias("b"))
+    pairs = star.union(heads).where("a <> b").distinct()
     labels = components(written(confirmed(pairs, sets, percent), "links"))
-    now = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    wide = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    left = written(now.join(wide, "key"), "left")
-    few, many = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET).select("key", "id", "c")
-    ones, twos = few.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    tried = few.groupBy("key").agg(F.min("id").alias("least"))  # compared already
-    pairs = ones.join(tried, "key").where("a <> least").drop("least").join(twos, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    found = confirmed(pairs, sets, percent)
+    now = members.join(labels, "id", "left").select("key", "part", "id", "least", "n", F.coalesce("component", "id").alias("c"))
+    open_ = now.groupBy("key", "part").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    keys = open_.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
+    left = written(now.join(open_.select("key", "part").join(keys, "key"), ["key", "part"]), "left")
+    few, many = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET)
+    ones, twos = few.where("id <> least").select("key", F.col("id").alias("a"), F.col("c").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
+    found = confirmed(ones.join(twos, "key").where("a < b and ca <> cb").select("a", "b").distinct(), sets, percent)
     if not many.isEmpty():
         found = found.union(crowded_links(many, sets, percent))
     more = written(found, "links")
@@ -176,12 +194,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     signed = written(signatures(docs, k, bands, rows), "signatures")
     classes = written(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = written(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")), "bands")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = written(keyed.join(shared, "key"), "buckets")
+    members = written(buckets(written(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")), "bands")), "buckets")
 
     def items(batch):
-        return {"id": batch.column(0), "items": pa.array([shingles(t, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())}
+        return {"id": batch.column(0), "items": pa.array([s.tobytes() for s in shingles(batch.column(1).to_pylist(), k)], pa.binary())}
 
     sets = written(map_arrow(docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), items, "id long, items binary"), "sets")
     labels = linked(members, sets, percent)
