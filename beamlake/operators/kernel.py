@@ -123,7 +123,9 @@ def _meets(lx: pa.Array, ly: pa.Array, lz: pa.Array, hx: pa.Array, hy: pa.Array,
 
 
 def polygon_distance(p0: Column, p1: Column, edges: Column, normal: Column) -> Column:
-    """Distance of a segment (of a point, if its ends are equal) to a polygon; null without edges or normal."""
+    """Distance of a segment (of a point, if its ends are equal) to a polygon; null without edges or normal.
+
+    Edges must come from a relation of their own (a join lies between): Spark takes no lambda among a Python function's arguments."""
     return _distance(*[p[c] for p in (p0, p1) for c in "xyz"], edges, *[normal[c] for c in "xyz"])
 
 
