@@ -17,16 +17,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Rows and bytes of an Arrow batch between Spark and Python: texts are long, and each task holds a few batches on both sides.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def _give_back() -> None:
+    """Lets a worker return large buffers to the system when they are freed, instead of keeping what its largest batch once took."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library: it has rules of its own
+        pass
+
+
+_give_back()
+
+
+def modest(spark: SparkSession) -> None:
+    """Small Arrow batches, unless the session asks for still smaller ones."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one is made only where none is configured."""
+    """The folder that all executors see, as spark.checkpoint.dir names it. Where it is unset one is made, but only for local masters."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='beamlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -81,6 +108,7 @@ def sliced(batch: pa.RecordBatch, column: int | None, rows: int, size: int = PIE
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 512) -> DataFrame:
     """function gets slices of at most `rows` rows (and PIECE_TEXT bytes, if there is a column named text) and returns columns by name."""
+    modest(df.sparkSession)
     text = df.columns.index("text") if "text" in df.columns else None
 
     def run(batches):

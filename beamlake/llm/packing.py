@@ -18,8 +18,8 @@ from beamlake.llm.base import map_arrow, table, written
 from beamlake.llm.tokens import tokenizer_path, word_ids
 
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 0, 2048
-#: Ranks within a length are counted in so many independent parts, so that one common length is not one task.
-PARTS = 256
+#: Pieces of one length that are ranked together, so that a common length is as many tasks as it needs.
+RANKED = 1 << 16
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -104,28 +104,36 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
 
     Null or empty text: the end id alone. Null doc_id: packed like any other. Repeated rows: each is packed. Very long texts: cut
     into pieces of `capacity`. An empty table: no rows. Other columns are not read."""
-    cut = written(pieces(docs, tokenizer, end_id, capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")), "pieces")
-    counted = cut.groupBy("length", "part").count().collect()  # at most capacity x PARTS
-    before, total = {}, {}
-    for r in sorted(counted, key=lambda r: (r["length"], r["part"])):
-        before[r["length"], r["part"]] = total.get(r["length"], 0)
-        total[r["length"]] = before[r["length"], r["part"]] + r["count"]
+    cut = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    total = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
+    parts = docs.sparkSession.createDataFrame([(length, -(-n // RANKED)) for length, n in total.items()], "length long, parts int")
+    dealt = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts").cast("int"))
+    counted = dealt.groupBy("length", "part").count().collect()  # at most capacity + pieces / RANKED rows
+    first_part = np.zeros(capacity + 2, np.int64)
+    for length, n in total.items():
+        first_part[length + 1] = -(-n // RANKED)
+    first_part = np.cumsum(first_part)
+    offsets, sizes = np.zeros(int(first_part[-1]), np.int64), np.zeros(int(first_part[-1]), np.int64)
+    for r in counted:
+        sizes[first_part[r["length"]] + r["part"]] = r["count"]
+    for length in total:
+        own = sizes[first_part[length] : first_part[length + 1]]
+        offsets[first_part[length] : first_part[length + 1]] = np.cumsum(own) - own
     events = plan(total, capacity)
-    offsets = np.full((capacity + 1, PARTS), -1, np.int64)
-    for (length, part), n in before.items():
-        offsets[length, part] = n
+    shared = docs.sparkSession.sparkContext.broadcast((first_part, offsets, events))
 
     def place(batch):
         get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        first_part, offsets, events = shared.value
         length = get("length")
-        rank = offsets[length, get("part")] + get("n") - 1
+        rank = offsets[first_part[length] + get("part")] + get("n") - 1
         key = events[:, 0] << 44 | events[:, 1]
         e = events[np.searchsorted(key, length << 44 | rank, "right") - 1]
         k = rank - e[:, 1]
         return {c: batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": e[:, 3] + k // e[:, 4], "offset": e[:, 5] + k % e[:, 4] * length}
 
-    ranked = cut.withColumn("n", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")).cast("long"))
-    return map_arrow(ranked, place, PIECE + ", sequence_id long, offset long", rows=1 << 16)
+    ranked = dealt.withColumn("n", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")).cast("long"))
+    return map_arrow(ranked.drop("parts"), place, PIECE + ", sequence_id long, offset long", rows=1 << 16)
 
 
 def op3_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

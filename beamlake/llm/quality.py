@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import hashes, map_arrow, runs_hashed, table, words_of, written
+from beamlake.llm.base import map_arrow, runs_hashed, table, text_hashes, written
 
 #: Share of a group that the estimate covers, concentration steps, rows below which a group takes the estimate of its language or of all.
 COVERED, STEPS, LEAST_ROWS = 0.75, 4, 40
@@ -23,16 +23,16 @@ _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _BASE = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, base_failed boolean, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
-def text_statistics(text: str | None) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines with a word."""
+def text_statistics(text: str | None, words: np.ndarray | None = None) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines with a word; words: their hashes, if known."""
     text = text or ""
-    words = words_of(text, lower=False)
+    words = text_hashes([text], lower=False)[0] if words is None else words
     n = len(words)
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
     repeat = 0
     if n > 3:
-        h = runs_hashed(hashes(words), 3)[0]
+        h = runs_hashed(words, 3)[0]
         order = np.argsort(h, kind="stable")
         s = h[order]
         same = s[1:] == s[:-1]
@@ -48,7 +48,8 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     def measure(batch):
-        rows = [text_statistics(t) for t in batch.column(3).to_pylist()]
+        texts = batch.column(3).to_pylist()
+        rows = [text_statistics(t, h) for t, h in zip(texts, text_hashes(texts, lower=False), strict=True)]
         n, chars, symbols, dup, repeat, lines = np.array(rows, np.int64).T if rows else np.empty((6, 0), np.int64)
         one = np.maximum(n, 1)
         x = (np.log1p(n), np.log(np.maximum(chars, 1) / one), np.sqrt(symbols / np.maximum(chars, 1)), np.sqrt(dup / np.maximum(lines, 1)), np.sqrt(repeat / one))
@@ -63,14 +64,24 @@ def _squared_distance():
     return sum((away[i] * away[j] * F.col("precision")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
 
 
-def robust_shapes(data: DataFrame, covered: float = COVERED, steps: int = STEPS, few: bool = False) -> DataFrame:
+#: Groups whose estimates (some 400 bytes each) are broadcast; more are joined by shuffles.
+FEW_GROUPS = 50_000
+
+
+def sized(groups: DataFrame) -> DataFrame:
+    """A written table of groups, marked for broadcast if it is counted and found small."""
+    return F.broadcast(groups) if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else groups
+
+
+def robust_shapes(data: DataFrame, covered: float = COVERED, steps: int = STEPS) -> DataFrame:
     """(lang, source, rows, centre, precision) by deterministic concentration from medians and median deviations.
 
-    few: the groups are known to be few, so what belongs to them is broadcast."""
+    Where groups are few, what belongs to them is broadcast, so that rows of a hot group stay where they are."""
     group, names, k = ["lang", "source"], list(FEATURES), len(FEATURES)
-    small = F.broadcast if few else lambda x: x
     middles = lambda x: F.array(*[F.percentile_approx(e, 0.5, 2000) for e in x])
     centre = written(data.groupBy(group).agg(middles(names).alias("centre"), middles(map(F.expr, FEATURES.values())).alias("floors")), "centres")
+    few = sized(centre) is not centre
+    small = F.broadcast if few else lambda x: x
     spread = data.join(small(centre), group).groupBy(group).agg(*[F.percentile_approx(F.abs(F.col(f) - F.col("centre")[i]), 0.5, 2000).alias(f) for i, f in enumerate(names)])
     diagonal = F.array(*[F.lit(1.0) / F.pow(F.greatest(F.col(names[i]) * 1.4826, F.col("floors")[i]), 2) if i == j else F.lit(0.0) for i in range(k) for j in range(k)])
     shapes = written(spread.join(small(centre), group).select(*group, "centre", diagonal.alias("precision"), "floors", F.lit(4.351).alias("usual")), "shapes")
@@ -111,7 +122,7 @@ def judging_shapes(data: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
         return own.drop("rows")
     levels = F.inline(F.array(F.struct(F.col("lang").alias("lang"), F.lit("language").alias("source")), F.struct(F.lit("").alias("lang"), F.lit("all").alias("source"))))
     measures = [c for c in data.columns if c not in ("lang", "source")]
-    wider = robust_shapes(data.select(*measures, levels), few=True)
+    wider = robust_shapes(data.select(*measures, levels))
     shape = F.struct("centre", "precision")
     of_language = wider.where((F.col("source") == "language") & (F.col("rows") >= least)).select("lang", shape.alias("of_language"))
     of_all = wider.where((F.col("source") == "all") & (F.col("rows") > len(FEATURES))).select(shape.alias("of_all"))
@@ -123,11 +134,12 @@ def judging_shapes(data: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
 def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) for each row of docs.
 
-    docs has doc_id, text, lang and source; null languages and sources are groups of their own, like empty ones. Null and empty texts have
+    docs has doc_id, text, lang and source; null languages and sources count as empty ones. Null and empty texts have
     no words and fail the base rules. Groups of fewer than LEAST_ROWS rows that pass the base rules are judged by the estimate of
-    their language, or of all rows if that has as few; only a table with no more such rows than variables is not judged (null distance). Repeated rows count each. Texts are taken whole; an empty table gives no rows; other columns are not read."""
+    their language, or of all rows if that has as few; only a table with no more such rows than variables is not judged (null distance).
+    Repeated rows count each. Texts are taken whole; an empty table gives no rows; other columns are not read."""
     data = written(statistics(docs), "statistics")
-    judged, d2 = data.join(judging_shapes(data.where("not base_failed")), ["lang", "source"], "left"), _squared_distance()
+    judged, d2 = data.join(sized(judging_shapes(data.where("not base_failed"))), ["lang", "source"], "left"), _squared_distance()
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cutoff)).alias("kept"), d2.alias("distance"))
 
 

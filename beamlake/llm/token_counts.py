@@ -10,13 +10,14 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from beamlake.llm.base import map_arrow, table
+from beamlake.llm.base import map_arrow, removed, table, written
 from beamlake.llm.tokens import byte_chunks, byte_counts, tokenizer, tokenizer_path
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
-#: Entries of the broadcast table, share of the rows it is made from, and tasks that make it.
-FREQUENT, SAMPLE, SAMPLE_TASKS = 16_384, 0.02, 8
+#: Entries of the broadcast table, share of each task's rows that it is made from, and words that a task proposes.
+FREQUENT, SAMPLE, PROPOSED = 16_384, 0.02, 4_096
 _tables: dict = {}
 
 
@@ -29,13 +30,14 @@ def frequent_lengths(docs: DataFrame, file: str, entries: int = FREQUENT, fracti
             for text in batch.column(0).to_pylist():
                 if p := byte_chunks(text or ""):
                     n.update(p[1])
-        top = [w for w, _ in n.most_common(entries)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([n[w] for w in top], pa.int64())], names=["word", "n"])
-
-    n: Counter = Counter()
-    for w, k in docs.select("text").sample(fraction, seed=1).coalesce(SAMPLE_TASKS).mapInArrow(common, "word string, n long").collect():
-        n[w] += k
-    words = sorted(w for w, _ in n.most_common(entries) if "\n" not in w)
+        top = n.most_common(PROPOSED)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([k for _, k in top], pa.int64())], names=["word", "n"])
+
+    # only the few words that tasks propose are summed; what is counted in the end stays in its task
+    proposed = docs.select("text").sample(fraction, seed=1).mapInArrow(common, "word string, n long")
+    chosen = written(proposed.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries), "frequent")
+    words = sorted(r["word"] for r in chosen.collect() if "\n" not in r["word"])
+    removed(docs.sparkSession, chosen)
     sizes = [len(e.ids) for e in tokenizer(file).encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
     kept = [(w, k) for w, k in zip(words, sizes, strict=True) if k < 256]
     return "\n".join(w for w, _ in kept), bytes(k for _, k in kept)

@@ -24,12 +24,15 @@ _MARKS = b".,;:!?\"'()[]|"
 _models: dict = {}
 
 
-def slots(text: str | None) -> np.ndarray:
-    """The slot of every gram of the text, with repeats."""
-    h = hashes([w.strip(_MARKS) for w in words_of(text, lower=True)])
-    out = [(h * U64(_GRAMS[0][1]))]
-    out += [h[:-d] * U64(salt) + h[d:] * U64(salt ^ 0x5851F42D4C957F2C | 1) for d, salt in _GRAMS[1:] if len(h) > d]
-    return (np.concatenate(out) >> U64(64 - BITS)).astype(np.int32)
+def slots(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the slot of every gram, with repeats: words without marks around them, pairs next to each other or one or two apart."""
+    every = []
+    for text in texts:
+        h = hashes([w.strip(_MARKS) for w in words_of(text, lower=True)])
+        out = [(h * U64(_GRAMS[0][1]))]
+        out += [h[:-d] * U64(salt) + h[d:] * U64(salt ^ 0x5851F42D4C957F2C | 1) for d, salt in _GRAMS[1:] if len(h) > d]
+        every.append((np.concatenate(out) >> U64(64 - BITS)).astype(np.int32))
+    return every
 
 
 class Ftrl:
@@ -56,25 +59,28 @@ def training_labels(labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, passes: int = PASSES) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, slots, weights). One task takes the bounded sample in the order of a hash, so a run can be repeated exactly."""
+    """(bias, slots, weights). One task takes the bounded sample in the order of a hash, so a run can be repeated exactly; rows come pass
+    after pass and are forgotten once learnt, so that long texts take no more memory than short ones."""
 
     def grams(batch):
-        return {"turn": batch.column(0), "label": batch.column(1), "slots": pa.array([np.unique(slots(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))}
+        return {"turn": batch.column(0), "label": batch.column(1), "slots": pa.array([np.unique(s) for s in slots(batch.column(2).to_pylist())], pa.list_(pa.int32()))}
+
+    chosen = training_labels(labels, rows)
+    toxic, known = (x or 0 for x in chosen.agg(F.sum("label"), F.count("*")).first())
 
     def learn(batches):
-        seen = [(label, s.values.to_numpy()) for batch in batches for label, s in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-        model = Ftrl((sum(y for y, _ in seen) + 0.5) / (len(seen) + 10))
-        for _ in range(passes):
-            for y, at in seen:
-                model.learn(at, y)
+        model = Ftrl((toxic + 0.5) / (known + 10))
+        for batch in batches:
+            for y, at in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                model.learn(at.values.to_numpy(), y)
         w = model.weights(slice(None))
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([kept.astype(np.int32)], pa.list_(pa.int32())), pa.array([w[kept].astype(np.float32)], pa.list_(pa.float32()))], names=["bias", "at", "w"])
 
-    chosen = training_labels(labels, rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("turn", "label", "text")  # at most `rows` small rows
-    ready = map_arrow(sample, grams, "turn long, label int, slots array<int>")
-    r = ready.repartition(1).sortWithinPartitions("turn").mapInArrow(learn, "bias double, at array<int>, w array<float>").first()
+    ready = map_arrow(sample, grams, "turn long, label int, slots array<int>", rows=64)
+    turns = ready.select("turn", "label", "slots", F.explode(F.array(*map(F.lit, range(passes)))).alias("pass"))
+    r = turns.repartition(1).sortWithinPartitions("pass", "turn", F.xxhash64("slots")).mapInArrow(learn, "bias double, at array<int>, w array<float>").first()
     if r is None:  # no task ran: there is nothing to learn from
         return Ftrl(0.05).bias, np.empty(0, np.int64), np.empty(0, np.float32)
     return r["bias"], np.array(r["at"], np.int64), np.array(r["w"], np.float32)
@@ -100,8 +106,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
     def score(batch):
         bias, weight = dense(mark, shared)
         out = []
-        for text in batch.column(2).to_pylist():
-            at = slots(text)
+        for at in slots(batch.column(2).to_pylist()):
             at = np.unique(at[weight[at] != 0])
             out.append(float(1 / (1 + np.exp(-np.clip(weight[at].sum(dtype=np.float64) + bias, -35, 35)))))
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(out, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in out], pa.int32())} | {c: batch.column(3 + i) for i, c in enumerate(others)}
