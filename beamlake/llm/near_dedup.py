@@ -189,21 +189,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
 
     A null or empty text, or one without words, has no shingles and is linked with nothing. A null doc_id is linked with nothing,
-    has a null component and is kept. Repeated rows are answered alike. Texts of any length are taken whole. An empty table gives no
-    rows; other columns are not read."""
+    has a null component and is kept. Repeated rows are answered alike; rows of one doc_id and different texts are one document, linked
+    by any of its texts. Texts of any length are taken whole. An empty table gives no rows; other columns are not read."""
     signed = written(signatures(docs, k, bands, rows), "signatures")
     classes = written(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = written(buckets(written(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")), "bands")), "buckets")
+    named = written(signed.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", "rep"), "named")
+    # rows of one doc_id and different texts belong together, whatever their classes
+    several = named.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    torn = written(named.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")), "torn")
+    reps = signed.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    members = written(buckets(written(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct(), "bands")), "buckets")
 
     def items(batch):
         return {"id": batch.column(0), "items": pa.array([s.tobytes() for s in shingles(batch.column(1).to_pylist(), k)], pa.binary())}
 
-    sets = written(map_arrow(docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), items, "id long, items binary"), "sets")
+    wanted = docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "tag"])
+    sets = written(map_arrow(wanted.select("doc_id", "text"), items, "id long, items binary").where("length(items) > 0"), "sets")
     labels = linked(members, sets, percent)
-    of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
-    return signed.select("doc_id", "n", "digest").join(of_class, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    if not torn.isEmpty():
+        labels = components(torn.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
+    found = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op4_super_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

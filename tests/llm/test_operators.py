@@ -130,6 +130,14 @@ def test_near_duplicates(docs, rows, empty, k):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_torn_documents(spark):
+    """One doc_id with two texts joins what is like either of them; an empty text beside it is linked with nothing."""
+    a, b = _text(90), _text(90)
+    rows = [(5, a + " end"), (7, a), (7, b), (9, b + " end"), (9, ""), (11, _text(90)), (12, None)]
+    got = Counter(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()))
+    assert got == Counter({(5, 5, True): 1, (7, 5, False): 2, (9, 5, False): 1, (9, 9, True): 1, (11, 11, True): 1, (12, 12, True): 1})
+
+
 def test_crowded_family(spark):
     base = [f"b{i}" for i in range(100)]
     rows = []
