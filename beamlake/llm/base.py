@@ -106,14 +106,14 @@ def sliced(batch: pa.RecordBatch, column: int | None, rows: int, size: int = PIE
         at = stop
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 512) -> DataFrame:
-    """function gets slices of at most `rows` rows (and PIECE_TEXT bytes, if there is a column named text) and returns columns by name."""
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 512, text: str = "text") -> DataFrame:
+    """function gets slices of at most `rows` rows (and PIECE_TEXT bytes of the text column, if there is one) and returns columns by name."""
     modest(df.sparkSession)
-    text = df.columns.index("text") if "text" in df.columns else None
+    place = df.columns.index(text) if text in df.columns else None
 
     def run(batches):
         for batch in batches:
-            for piece in sliced(batch, text, rows):
+            for piece in sliced(batch, place, rows):
                 out = function(piece)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out.values()], names=list(out))

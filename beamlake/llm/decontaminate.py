@@ -24,6 +24,8 @@ SCALES = (8, 16, 32, 64, 128, 256)
 COSINE, CERTAIN, LIKELY, ANSWER, ANSWER_SHARE = 0.4, 0.8, 0.65, 0.25, 0.75
 #: Features that travel together.
 BLOCK = 512
+#: Bytes of benchmark text that are broadcast and searched at once.
+BLOCK_TEXT = 32 << 20
 #: Words whose passages are searched at once.
 CHUNK = 1 << 14
 _MARKS = b".,;:!?\"'()[]|/-"
@@ -168,10 +170,9 @@ def decomposed(start: np.ndarray, product: np.ndarray, rank: int) -> tuple[np.nd
     return vectors[:, :rank], np.sqrt(np.maximum(values[:rank] ** 2 - shift, 0))
 
 
-def fit(docs: DataFrame, items: list[np.ndarray], rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """(idf by feature, weighted projection features x rank). Passage frequencies and the sketch (A^T A) R of the TF-IDF matrix A, with
-    a few columns more than the rank, are gathered by feature block from all documents, whose features are written once; the items
-    count as passages too."""
+    a few columns more than the rank, are gathered by feature block from all texts, whose features are written once."""
     schema, seed = "block int, part int, v array<float>", 11
     spark, width = docs.sparkSession, rank + OVERSAMPLED
     hashed = written(map_arrow(docs.select("text"), lambda batch: {"f": pa.array([features(h).astype(np.uint16).tobytes() for h in tokens_of(batch.column(0).to_pylist())], pa.binary())}, "f binary"), "features")
@@ -186,9 +187,7 @@ def fit(docs: DataFrame, items: list[np.ndarray], rank: int = RANK) -> tuple[np.
         yield from _emit(df)
 
     counted = _summed(hashed.mapInArrow(frequency, schema), 1)[:, 0]
-    df, n = counted[:FEATURES], float(counted[FEATURES]) + len(items)
-    for h in items:
-        df[np.unique(features(h))] += 1
+    df, n = counted[:FEATURES], float(counted[FEATURES])
     idf = (np.maximum(np.log((n + 10) / (df + 5)), 0) + 0.1).astype(np.float32)
     begin = lambda: np.random.default_rng(seed).normal(size=(FEATURES, width)).astype(np.float32)
 
@@ -210,7 +209,7 @@ def fit(docs: DataFrame, items: list[np.ndarray], rank: int = RANK) -> tuple[np.
         one_blas_thread()
         yield from _emit(product(_by_words(texts(batches), 1 << 12)))
 
-    total = _summed(hashed.mapInArrow(sketch, schema), width)[:FEATURES] + product([[features(h).astype(np.uint16)] for h in items])
+    total = _summed(hashed.mapInArrow(sketch, schema), width)[:FEATURES]
     removed(spark, hashed)
     basis, _ = decomposed(begin(), total, rank)
     return idf, (idf[:, None] * basis).astype(np.float32)
@@ -309,23 +308,36 @@ def find_leaks(docs: list[np.ndarray], items: list, projection: np.ndarray, by:
     return found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, others: tuple[str, ...] = (), block_bytes: int = BLOCK_TEXT) -> DataFrame:
     """(doc_id, item_ids, best_share, kept) and the columns in others for each row of docs(doc_id, text); benchmark has item_id and text.
 
-    kept: no item was found. Null and empty texts match nothing; items without words are left out; a null item_id is reported as null;
-    repeated rows are answered alike. Texts are taken whole. The benchmark is the stated query set and must fit in memory; an empty
-    one keeps all, an empty documents table gives no rows; columns beside these and others are not read."""
-    items = [(r["item_id"], h) for r in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").collect() if len(h := tokens(r["text"]))]
-    _, projection = fit(docs, [h for _, h in items]) if items else (None, np.zeros((FEATURES, RANK), np.float32))
-    mark, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((items, projection))
-
+    kept: no item was found. Null and empty texts match nothing; items without words are left out, items of one or two words match every
+    text that has them; a null item_id is reported as null; repeated rows are answered alike. Texts are taken whole. The benchmark is the
+    stated query set: its bytes are counted, and it is broadcast and searched in blocks of block_bytes. An empty one keeps all, an empty
+    documents table gives no rows; columns beside these and others are not read."""
+    spark, asked = docs.sparkSession, benchmark.select("item_id", "text").where("text is not null").distinct()
+    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    projection = fit(docs.select("text").unionByName(asked.select("text")))[1] if size else np.zeros((FEATURES, RANK), np.float32)
+    schema = "doc_id long, item_ids array<long>, best_share double, _searched string" + carried(docs, others)
+    rows = docs.select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_share"), F.col("text").alias("_searched"), *others)
+    for block in range(blocks if size else 0):
+        own = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        items = [(r["item_id"], h) for r, h in zip(own, tokens_of([r["text"] for r in own]), strict=True) if len(h)]
+        if items:
+            rows = map_arrow(rows, _searching(uuid.uuid4().hex, spark.sparkContext.broadcast((items, projection)), others), schema, rows=128, text="_searched")
+    return rows.select("doc_id", "item_ids", "best_share", (F.size("item_ids") == 0).alias("kept"), *others)
+
+
+def _searching(mark: str, shared, others: tuple[str, ...]):
     def search(batch):
         items, projection, by, vocabulary = _index(mark, shared)
-        found = find_leaks(tokens_of(batch.column(1).to_pylist()), items, projection, by, vocabulary) if by else [{}] * batch.num_rows
-        ids = [sorted((items[k][0] for k in f), key=lambda x: (x is not None, x)) for f in found]
-        return {"doc_id": batch.column(0), "item_ids": pa.array(ids, pa.list_(pa.int64())), "best_share": pa.array([max(f.values(), default=0.0) for f in found]), "kept": pa.array([not f for f in found], pa.bool_())} | {c: batch.column(2 + i) for i, c in enumerate(others)}
+        found = find_leaks(tokens_of(batch.column(3).to_pylist()), items, projection, by, vocabulary)
+        ids = [sorted([*had, *(items[k][0] for k in f)], key=lambda x: (x is not None, x)) for had, f in zip(batch.column(1).to_pylist(), found, strict=True)]
+        best = [max([had, *f.values()]) for had, f in zip(batch.column(2).to_pylist(), found, strict=True)]
+        return {"doc_id": batch.column(0), "item_ids": pa.array(ids, pa.list_(pa.int64())), "best_share": pa.array(best, pa.float64()), "_searched": batch.column(3)} | {c: batch.column(4 + i) for i, c in enumerate(others)}
 
-    return map_arrow(docs.select("doc_id", "text", *others), search, "doc_id long, item_ids array<long>, best_share double, kept boolean" + carried(docs, others), rows=128)
+    return search
 
 
 def op8_latent_semantic_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,6 +328,10 @@ def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(7, item), (8, ""), (9, None)], "item_id long, text string")
     got = {r["doc_id"]: r for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert [got[i]["kept"] for i in range(1, 6)] == [False, False, True, True, True] and got[1]["item_ids"] == [7]
+    two = spark.createDataFrame([(7, item), (8, ""), (9, None), (10, " ".join(f"other{i}" for i in range(20)))], "item_id long, text string")
+    for size in (1, 1 << 20):  # item by item, or all at once
+        again = {r["doc_id"]: (r["item_ids"], round(r["best_share"], 6)) for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), two, block_bytes=size).collect()}
+        assert again == {i: (got[i]["item_ids"], round(got[i]["best_share"], 6)) for i in got}
     assert leaks(empty, bench).count() == 0 and leaks(docs, bench.limit(0)).where("not kept").count() == 0
 
 

@@ -37,3 +37,24 @@ def test_pipeline(spark, tmp_path):
     assert set(cut.doc_id) - set(clean.doc_id) == {80}
     assert set(packed.doc_id) == set(clean.doc_id) and packed.length.max() <= 2048
     shutil.rmtree(tmp_path)
+
+
+def _stages(spark, docs, path):
+    """Each stage on the rows given, not on what another left."""
+    return {name: stage(spark, docs, str(path)).collect() for name, stage in corpus_pipeline.STAGES}
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, repeated rows, ties, long texts, columns with the operators' own names; an empty table."""
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"w{rnd.randrange(300)}" for _ in range(n))
+    pd.DataFrame({"doc_id": [1, 2, None], "quality": [1, 0, 1], "toxic": [0, None, 1]}).astype({"doc_id": "Int64", "toxic": "Int32", "quality": "int32"}).to_parquet(tmp_path / "labels.parquet")
+    pd.DataFrame({"item_id": [1, None], "text": ["q1 q2 q3 q4 q5 q6 q7 q8 q9", None]}).astype({"item_id": "Int64"}).to_parquet(tmp_path / "benchmark.parquet")
+    long, same = text(30000), text(60)
+    rows = [(1, same, "en", "s", 3), (1, same, "en", "s", 3), (1, text(50), None, None, None), (None, same, "en", None, 2), (None, None, None, None, None), (4, "", "", "", 0), (5, long, "en", "s", 9), (6, "one", "en", "s", 3), (6, "one", "en", "s", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 as kept", "'x' as id", "2 as predicted", "3 as tag", "4 as text_", "5 as part", "6 as `key`")
+    got = _stages(spark, docs, tmp_path)
+    assert [len(got[n]) for n, _ in corpus_pipeline.STAGES[:4]] == [9, 9, 9, 9] and len(got["packing"]) >= 9
+    assert sorted(len(r["text"] or "") for r in got["repeated substrings"])[-1] == len(long)
+    assert not any(_stages(spark, docs.limit(0), tmp_path).values())

@@ -71,7 +71,7 @@ def test_decontamination_finds_all_that_brute_force_finds(spark):
 
 def test_passage_counts_cover_every_document_and_tail(spark):
     docs = [_zipf(90) + [f"tail{i % 50}"] for i in range(4500)]
-    idf, _ = decontaminate.fit(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string"), [])
+    idf, _ = decontaminate.fit(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string"))
     count, n = np.zeros(decontaminate.FEATURES), 0
     for doc in docs:
         f = decontaminate.features(decontaminate.tokens(" ".join(doc)))
