@@ -23,19 +23,22 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier rejects go, whatever their doc_id."""
+    """Rows that the classifier rejects go, whatever their doc_id; null and empty texts have the score of the prior and stay. Repeated rows
+    are judged alike; an empty table gives one; further columns are dropped."""
     judged = score_toxicity(docs, table(spark, sf_dir, "labels"), others=COLUMNS[1:])
     return judged.where("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the least doc_id. Shingles of five words, similarity 0.8."""
+    """One document of each group stays: that of the least doc_id. Shingles of five words, similarity 0.8. Rows without words or without a
+    doc_id stay; repeated rows go or stay together; an empty table gives one; further columns are dropped."""
     docs = docs.select(*COLUMNS)
     return _only(docs, near_duplicates(docs, k=5, percent=80).where("kept"))
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of 100 bytes or more go from all texts but the first; documents stay, with what is left of their text."""
+    """Repeated passages of 100 bytes or more go from all texts but the first; documents stay, with what is left of their text. Null and
+    empty texts and rows without a doc_id stay as they are; repeated rows are cut alike; an empty table gives one."""
     docs = docs.select(*COLUMNS)
     cut = remove_repeated_bytes(docs, whole_characters=True, others=("lang", "source", "n_chars", "text"))
 
@@ -49,11 +52,14 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which a benchmark item is found go, whatever their doc_id."""
+    """Rows in which a benchmark item is found go, whatever their doc_id; null and empty texts hold none and stay. Repeated rows are judged
+    alike; an empty table gives one; further columns are dropped."""
     return leaks(docs, table(spark, sf_dir, "benchmark"), others=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 ids: a row for each piece of each row. A null or empty text is its end alone, a null doc_id stays null,
+    repeated rows are packed each; an empty table gives one; further columns are not read."""
     return pack(docs)
 
 
