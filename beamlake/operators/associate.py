@@ -49,10 +49,12 @@ def candidates(beams: DataFrame, polygons: DataFrame, buffer: float) -> DataFram
     walls = shapes(polygons).withColumn("grid", F.greatest(F.ceil(F.log2(extent)), F.lit(0)).cast("int"))
     grids = walls.agg(F.collect_set("grid").alias("grids"))
     for c in _XYZ:
-        walls = walls.withColumn(f"v{c}", F.explode(_voxels(F.col(f"box.{c}min") - buffer, F.col(f"box.{c}max") + buffer, size)))
-    cut = beams.where("p0 is not null and p1 is not null").withColumn("grids", grids.scalar()).withColumn("grid", F.explode("grids")).drop("grids").withColumn("own", _segment_box())
+        walls = walls.withColumn(f"v{c}", F.explode_outer(_voxels(F.col(f"box.{c}min") - buffer, F.col(f"box.{c}max") + buffer, size)))
+    # outer: a plain explode lets Spark infer filters, which it evaluates below, on whatever long expressions p0 and p1 come from;
+    # rows without a segment have no voxel and meet nothing
+    cut = beams.withColumn("grids", grids.scalar()).withColumn("grid", F.explode_outer("grids")).drop("grids").withColumn("own", _segment_box())
     for c in _XYZ:
-        cut = cut.withColumn(f"v{c}", F.explode(_voxels(F.col(f"own.{c}min"), F.col(f"own.{c}max"), size)))
+        cut = cut.withColumn(f"v{c}", F.explode_outer(_voxels(F.col(f"own.{c}min"), F.col(f"own.{c}max"), size)))
     begin = lambda c: F.greatest(F.col(f"own.{c}min"), F.col(f"box.{c}min") - buffer)
     once = [F.floor(begin(c) / size) == F.col(f"v{c}") for c in _XYZ]
     place = ["grid", *[f"v{c}" for c in _XYZ]]
