@@ -24,7 +24,13 @@ def _one(spark: SparkSession, table: str, **values) -> DataFrame:
 def setup(store: Store, platform: str, sensor: str, campaign: str, mission: str, platform_type: str | None = None, sensor_type: str = "lidar") -> dict[str, int]:
     """Ids of platform, sensor, campaign and mission by name, made where they are missing."""
     spark, out = store.spark, {}
-    pick = lambda table, **values: store.get_or_create(table, _one(spark, table, **values)).where(" and ".join(f"{k} = '{v}'" if isinstance(v, str) else f"{k} = {v}" for k, v in values.items() if k in ("name", "campaign_id", "platform_id"))).agg(F.min("id")).first()[0]
+
+    def pick(table: str, **values) -> int:
+        rows = store.get_or_create(table, _one(spark, table, **values))
+        for k in ("name", "campaign_id", "platform_id"):
+            rows = rows.where(F.col(k).eqNullSafe(F.lit(values[k]))) if k in values else rows
+        return rows.agg(F.min("id")).first()[0]
+
     out["platform_id"] = pick("platform", name=platform, platform_type=platform_type)
     out["sensor_id"] = pick("sensor", platform_id=out["platform_id"], name=sensor, type=sensor_type)
     out["campaign_id"] = pick("campaign", name=campaign)

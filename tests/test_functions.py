@@ -181,3 +181,15 @@ def test_streamed_slices(spark, tmp_path):
     run = slices.slice_counts(stream).writeStream.format("memory").queryName("slices").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     run.awaitTermination()
     assert sorted(r["messages"] for r in spark.table("slices").collect()) == [2, 2, 5, 5, 5, 5]
+
+
+def test_numbers(spark):
+    from beamlake.operators.numbering import numbered_within, ranked
+
+    df = spark.range(1000).select(F.pmod(F.hash("id"), F.lit(7)).alias("g"), F.hash("id").alias("v")).repartition(5).unionByName(spark.createDataFrame([(3, None)], "g int, v int"))
+    got = [r["n"] for r in ranked(df, ["g", "v"]).orderBy(F.col("g"), F.col("v").asc_nulls_last()).collect()]
+    assert got == list(range(1, 1002))
+    for _, rows in __import__("itertools").groupby(sorted((r["g"], r["k"], r["v"]) for r in numbered_within(df, "g", ["v"], "k").where("v is not null").collect()), key=lambda r: r[0]):
+        rows = list(rows)
+        assert [r[1] for r in rows] == list(range(len(rows))) and [r[2] for r in rows] == sorted(r[2] for r in rows)
+    assert ranked(df.limit(0), ["g"]).count() == 0
