@@ -21,18 +21,19 @@ U64 = np.uint64
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
-def _give_back() -> None:
-    """Lets a worker return large buffers to the system when they are freed, instead of keeping what its largest batch once took."""
-    pa.set_memory_pool(pa.system_memory_pool())
+def keep_freed(size: int) -> None:
+    """How many freed bytes a worker keeps for its next arrays; larger buffers go back to the system. Without a bound it would keep what its
+    largest batch once took; with a small one every array of a megabyte or more is new pages."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, size)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):  # another C library: it has rules of its own
         pass
 
 
-_give_back()
+pa.set_memory_pool(pa.system_memory_pool())
+keep_freed(64 << 20)
 
 
 def modest(spark: SparkSession) -> None:
