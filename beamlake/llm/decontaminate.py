@@ -224,20 +224,40 @@ def _held(vocabulary: np.ndarray, items: list[np.ndarray]) -> tuple[np.ndarray,
     return held, np.stack([size, np.ceil(LIKELY * size - 1e-9).astype(np.int64)])
 
 
+def _packed(held: np.ndarray, size: np.ndarray, need: np.ndarray, scale: int) -> list[tuple]:
+    """Items in blocks of at most 1024 as (items, blocks on either side of a passage that count, held words as counters side by side in
+    64-bit numbers, least counts). Whole numbers add up all their counters at once, as long as none can run over."""
+    out, sides = [], 1 + -(-np.maximum(0, size - scale) // (scale // 4))
+    for side in np.unique(sides).tolist():
+        of_side = np.flatnonzero(sides == side)
+        for first in range(0, len(of_side), 1024):
+            own = of_side[first : first + 1024]
+            lane = np.uint8 if (4 + 2 * side) * (scale // 4) < 255 else np.uint16
+            width = -(-len(own) // 8) * 8
+            counters, least = np.zeros((len(held), width), lane), np.full(width, np.iinfo(lane).max, lane)
+            counters[:, : len(own)], least[: len(own)] = held[:, own], need[own]
+            out.append((own, side, counters.view(np.uint64), least))
+    return out
+
+
 def _index(mark: str, shared):
     """Item vectors and words by passage length, made once in each worker."""
     if mark not in _state:
         one_blas_thread()
         _state.clear()
         items, projection = shared.value
-        items = [(i, h, set(h.tolist())) for i, h in items]
-        vocabulary = np.unique(np.concatenate([h for _, h, _ in items])) if items else np.empty(0, U64)
+        vocabulary = np.unique(np.concatenate([h for _, h in items])) if items else np.empty(0, U64)
         projection = np.concatenate([projection, np.zeros((1, projection.shape[1]), np.float32)])
         by: dict[int, list] = {}
-        for i, (_, h, _) in enumerate(items):
+        for i, (_, h) in enumerate(items):
             by.setdefault(min(SCALES, key=lambda s: abs(np.log(s / len(h)))), []).append(i)
         unit = lambda v: v / max(1e-9, float(np.linalg.norm(v)))
-        _state[mark] = items, projection, {s: (np.array(k), np.stack([unit(projection[features(items[i][1])].sum(0)) for i in k], axis=1).astype(np.float32), *_held(vocabulary, [items[i][1] for i in k])) for s, k in by.items()}, vocabulary
+        scales = {}
+        for scale, k in by.items():
+            held, (size, need) = _held(vocabulary, [items[i][1] for i in k])
+            vectors = np.stack([unit(projection[features(items[i][1])].sum(0)) for i in k]).astype(np.float32)
+            scales[scale] = np.array(k), vectors, held, size, need, _packed(held, size, need, scale)
+        _state[mark] = items, projection, scales, vocabulary
     return _state[mark]
 
 
@@ -247,7 +267,7 @@ def _candidates(docs: list[np.ndarray], projection: np.ndarray, by: dict, vocabu
     A common subsequence is no longer than the count of words near the passage that the item holds, so the count loses no match, and it
     is what is cheap: documents stand in one stream, each from a block's edge on, whose blocks of a quarter of a passage are counted for
     all items at once (words of a neighbour only raise a count). Vectors are made for the passages that are left."""
-    least, widest = min(by), max(by)
+    widest = max(by)
     length = np.array([len(h) for h in docs], np.int64)
     room = -(-np.maximum(length, 1) // (widest // 4)) * (widest // 4)
     begin = np.cumsum(room) - room
@@ -256,40 +276,56 @@ def _candidates(docs: list[np.ndarray], projection: np.ndarray, by: dict, vocabu
     found = np.searchsorted(vocabulary, every)
     found[vocabulary[np.minimum(found, len(vocabulary) - 1)] != every] = len(vocabulary)
     place[np.arange(len(every)) + np.repeat(begin - (np.cumsum(length) - length), length)] = found
-    for scale, (which, vectors, held, (size, need)) in by.items():
+    for scale, (which, vectors, held, size, need, packed) in by.items():
         step, blocks = scale // 4, len(place) // (scale // 4)
-        for block in range(0, len(which), 1024):  # the query set in blocks
-            items = slice(block, block + 1024)
-            side = 1 + -(-max(0, int(size[items].max()) - scale) // step)
+        distinct = held.sum(axis=0, dtype=np.int64)
+        for own, side, counters, least in packed:  # the query set in blocks
             for at in range(0, blocks, CHUNK // step):
                 rows = np.arange(at, min(blocks, at + CHUNK // step))
                 first, last = max(0, at - side), min(blocks, int(rows[-1]) + 4 + side)
-                count = np.zeros((last - first + 1, held[:, items].shape[1]), np.uint16)  # sums may wrap around, their differences are right
-                np.cumsum(held[:, items][place[first * step : last * step]].reshape(last - first, step, -1).sum(axis=1, dtype=np.uint16), axis=0, out=count[1:], dtype=np.uint16)
+                count = np.zeros((last - first + 1, counters.shape[1]), np.uint64)  # sums may wrap around, their differences are right
+                np.cumsum(counters[place[first * step : last * step]].reshape(last - first, step, -1).sum(axis=1), axis=0, out=count[1:])
                 near = count[np.minimum(rows + 4 + side, last) - first] - count[np.maximum(rows - side, first) - first]
-                row, item = np.nonzero(near >= need[items].astype(np.uint16))
+                row, item = np.divmod(np.flatnonzero(near.view(least.dtype) >= least), len(least))
                 if not len(row):
                     continue
                 start = rows[row] * step
                 doc = np.searchsorted(begin, start, "right") - 1
                 start -= begin[doc]
                 real = start // step < np.maximum(1, -(-length[doc] // step) - 3)
-                doc, start, item = doc[real], start[real], item[real]
-                # the words of just this document and just as near as this item needs
-                more = scale // 4 + np.maximum(0, size[items][item] - scale)
+                doc, start, item = doc[real], start[real], own[item[real]]
+                # the words of just this document and just as near as this item needs: counted, then told apart
+                more = scale // 4 + np.maximum(0, size[item] - scale)
                 low, high = np.maximum(0, start - more) + begin[doc], np.minimum(length[doc], start + scale + more) + begin[doc]
-                enough = np.zeros(len(doc), bool)
-                for i in range(0, len(doc), 4096):
-                    j = slice(i, i + 4096)
-                    word = low[j, None] + np.arange(int((high[j] - low[j]).max()))
-                    word = np.where(word < high[j, None], place[np.minimum(word, len(place) - 1)], len(vocabulary))
-                    enough[j] = held[word, block + item[j, None]].sum(axis=1, dtype=np.int32) >= need[items][item[j]]
-                doc, start, item = doc[enough], start[enough], item[enough]
+                for test in (_words_enough, _distinct_enough):
+                    enough = np.zeros(len(doc), bool)
+                    for i in range(0, len(doc), 4096):
+                        j = slice(i, i + 4096)
+                        word = low[j, None] + np.arange(int((high[j] - low[j]).max()))
+                        word = np.where(word < high[j, None], place[np.minimum(word, len(place) - 1)], len(vocabulary))
+                        enough[j] = test(held, word, item[j], size, need, distinct)
+                    doc, start, item, low, high = doc[enough], start[enough], item[enough], low[enough], high[enough]
+                if not len(doc):
+                    continue
                 passages, of = np.unique(doc << 40 | start, return_inverse=True)
-                v = np.stack([projection[features(docs[p >> 40][(p & (1 << 40) - 1) :][:scale])].sum(0) for p in passages.tolist()]) if len(passages) else np.empty((0, projection.shape[1]), np.float32)
+                v = np.stack([projection[features(docs[p >> 40][(p & (1 << 40) - 1) :][:scale])].sum(0) for p in passages.tolist()])
                 norm = np.maximum(np.sqrt((v * v).sum(1)), 1e-9)
-                alike = np.einsum("ij,ij->i", v[of], vectors[:, items].T[item]) >= COSINE * norm[of]
-                yield from zip(doc[alike].tolist(), start[alike].tolist(), [scale] * int(alike.sum()), which[block + item[alike]].tolist(), strict=True)
+                alike = np.einsum("ij,ij->i", v[of], vectors[item]) >= COSINE * norm[of]
+                yield from zip(doc[alike].tolist(), start[alike].tolist(), [scale] * int(alike.sum()), which[item[alike]].tolist(), strict=True)
+
+
+def _words_enough(held, word, item, size, need, distinct) -> np.ndarray:
+    """Whether the passage has as many words that the item holds as a match needs."""
+    return held[word, item[:, None]].sum(axis=1, dtype=np.int32) >= need[item]
+
+
+def _distinct_enough(held, word, item, size, need, distinct) -> np.ndarray:
+    """Whether few enough of the item's distinct words are absent: each is a word less in common."""
+    word = np.sort(word, axis=1)
+    new = np.ones(word.shape, bool)
+    new[:, 1:] = word[:, 1:] != word[:, :-1]
+    there = (held[word, item[:, None]].astype(bool) & new).sum(axis=1)
+    return size[item] - (distinct[item] - there) >= need[item]
 
 
 def find_leaks(docs: list[np.ndarray], items: list, projection: np.ndarray, by: dict, vocabulary: np.ndarray) -> list[dict[int, float]]:
@@ -299,9 +335,6 @@ def find_leaks(docs: list[np.ndarray], items: list, projection: np.ndarray, by:
         words = items[k][1]
         more = scale // 4 + max(0, len(words) - scale)
         passage = docs[doc][max(0, start - more) : start + scale + more]
-        # words that are absent bound the common subsequence
-        if 1 - len(items[k][2].difference(passage.tolist())) / len(words) < LIKELY:
-            continue
         share = matches(words, passage)
         if share > found[doc].get(k, 0.0):
             found[doc][k] = share
