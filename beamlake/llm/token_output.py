@@ -34,13 +34,13 @@ def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.n
     round only pairs that are new or lost an overlap can qualify, so only their places are counted."""
     n = len(ids)
     x, after, before = np.append(ids.astype(np.int64), -1), np.arange(1, n + 2), np.arange(-1, n)
-    alive, weight, rules, rounds, n_rules = np.ones(n + 1, bool), np.zeros(n + 1, np.int64), [np.empty((0, 2), np.int64)], [0], 0
+    alive, weight, rules, rounds, n_rules = np.ones(n + 1, bool), np.zeros(n + 1, np.int32), [np.empty((0, 2), np.int64)], [0], 0
     alive[n], at = False, np.arange(max(0, n - 1))
     while len(at) >= min_count:
-        key = x[at] << 32 | x[after[at]]
+        key = x[: n - 1] << 32 | x[1:n] if not n_rules else x[at] << 32 | x[after[at]]
         keys = np.sort(key)
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        count = np.diff(np.append(edge, len(keys)))
+        count = np.diff(np.append(edge, len(keys))).astype(np.int32)
         keys, count = keys[edge[count >= min_count]], count[count >= min_count]
         if not len(keys):
             break
