@@ -18,22 +18,22 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Rows and bytes of an Arrow batch between Spark and Python: texts are long, and each task holds a few batches on both sides.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
-def keep_freed(size: int) -> None:
-    """How many freed bytes a worker keeps for its next arrays; larger buffers go back to the system. Without a bound it would keep what its
-    largest batch once took; with a small one every array of a megabyte or more is new pages."""
+def keep_freed(array: int, size: int) -> None:
+    """Freed arrays up to `array` bytes stay with the worker, `size` bytes of them at most; all else goes back to the system. Without a bound
+    it would keep what its largest batch once took."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-3, array)  # M_MMAP_THRESHOLD
         libc.mallopt(-1, size)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):  # another C library: it has rules of its own
         pass
 
 
 pa.set_memory_pool(pa.system_memory_pool())
-keep_freed(64 << 20)
+keep_freed(6 << 20, 12 << 20)
 
 
 def modest(spark: SparkSession) -> None:
@@ -90,7 +90,7 @@ def swept(spark: SparkSession) -> None:
 
 
 #: Bytes of text that a task works on at once (one longer text is taken whole).
-PIECE_TEXT = 8 << 20
+PIECE_TEXT = 4 << 20
 
 
 def sliced(batch: pa.RecordBatch, column: int | None, rows: int, size: int = PIECE_TEXT):

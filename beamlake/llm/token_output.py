@@ -141,7 +141,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
     def encode(batches):
         from beamlake.llm.tokens import tokenizer as loaded
 
-        keep_freed(256 << 20)  # a shard's arrays are 8 MB each
+        keep_freed(16 << 20, 256 << 20)  # a shard's arrays are 8 MB each
         base, part, seq = loaded(file).get_vocab_size(), TaskContext.get().partitionId(), 0
         ids, parts, size, before = [], [], 0, 0
         names = [x.split()[0] for x in SHARD.split(", ")]
