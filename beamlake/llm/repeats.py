@@ -4,7 +4,8 @@ A window is `window` consecutive units of one document. Its anchor is the least
 which depends on the window alone, so equal windows have equal anchors: only anchors are gathered, a small share of all positions.
 A segment is a run of windows with one anchor. Equal segments are one class, whose earliest segment stands for it, marked as having
 others; the rest of a class repeats it. Each class that has others, or shares its anchor with another class, goes on to the operator's
-own method, which decides every window of it.
+own method, which decides every window of it. Where sides are asked for, a class without others goes on only if another class of its
+anchor has the same units beside the anchor, on a side that windows of both cover: without that no window of it can be repeated.
 
 Within the tables here a row of documents is known by its doc_id and a tag of its text, so rows of one doc_id and different texts are
 different documents, in the order of their tags."""
@@ -26,6 +27,11 @@ _BYTE = mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 STRETCH_UNITS, BUFFER_UNITS = 1 << 16, 1 << 23
 #: A place is tag (22 bits), start (32), further windows (8) and whether the class has others (1).
 _TAG_BITS, _SPAN = 22, 256
+#: Sides are hashes of the units before and behind the anchor (27 bits each) and how many of the segment's windows, its first ones, are far:
+#: they start so long before the anchor that they cover the units before it. The others cover those behind it.
+SIDE_BITS, FAR_BITS = 27, 10
+#: Classes of one anchor that are compared by their sides at once; an anchor with more of them passes all on.
+GROUP = 8192
 
 
 def byte_hashes(raw: bytes) -> np.ndarray:
@@ -44,8 +50,9 @@ def text_tag() -> Column:
     return F.xxhash64("text").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int").alias("tag")
 
 
-def segments(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, units: list[np.ndarray], window: int, anchor: int) -> np.ndarray:
-    """Columns (anchor, segment, doc, place) of stretches of documents; starts are the stretches' places in their documents."""
+def segments(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, units: list[np.ndarray], window: int, anchor: int, sides: bool = False) -> np.ndarray:
+    """Columns (anchor, segment, doc, place and, if asked for, sides) of stretches of documents; starts are the stretches' places in their
+    documents."""
     size = np.array([len(u) for u in units])
     end = np.cumsum(size)
     begin = end - size
@@ -55,7 +62,7 @@ def segments(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, units: list
     doc = np.repeat(np.arange(len(units)), size)[: len(at)]
     start = np.flatnonzero(np.arange(len(at)) + window <= end[doc])
     if not len(start):
-        return np.empty((4, 0), np.int64)
+        return np.empty((4 + sides, 0), np.int64)
     at, doc = at[start], doc[start]
     edge = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     if window - anchor >= _SPAN:
@@ -66,7 +73,20 @@ def segments(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, units: list
     place, of = at[edge], doc[edge]
     key = mixed(run_at(steps, window, first) + mixed(run_at(steps, window, last) + mixed((place - first).astype(U64) << U64(32) | (last - first).astype(U64))))
     where = tags[of] << 41 | (first - begin[of] + starts[of]) << 9 | (last - first) << 1
-    return np.stack([runs[place].view(np.int64), key.view(np.int64), docs[of], where])
+    columns = [runs[place].view(np.int64), key.view(np.int64), docs[of], where]
+    return np.stack([*columns, _sides(steps, place, first, last, window, anchor)] if sides else columns)
+
+
+def _sides(steps: dict[int, np.ndarray], place: np.ndarray, first: np.ndarray, last: np.ndarray, window: int, anchor: int) -> np.ndarray:
+    half = (window - anchor) // 2  # windows that start at most so long before the anchor are near
+    far = np.clip(place - first - half, 0, last - first + 1)
+    reach = min(anchor, half + 1, window - anchor - half)
+    before = behind = np.zeros(len(place), U64)
+    if reach > 0:
+        few = U64(64 - SIDE_BITS)
+        before = np.where(far > 0, run_at(steps, reach, np.maximum(place - reach, 0)) >> few, U64(0))
+        behind = np.where(far <= last - first, run_at(steps, reach, np.minimum(place + anchor, len(steps[1]) - reach)) >> few, U64(0))
+    return (before << U64(SIDE_BITS + FAR_BITS) | behind << U64(FAR_BITS) | far.astype(U64)).view(np.int64)
 
 
 def _spans(doc: np.ndarray, tag: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -104,50 +124,72 @@ def _passed(x: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not x.shape[1]:
         return
     head, again = _classes(x[:, np.lexsort((x[3], x[2], x[1], x[0]))])
-    yield _batch(anchor=head[0], segment=head[1], doc_id=head[2], place=head[3])
+    more = {"sides": head[4]} if len(x) > 4 else {}
+    yield _batch(anchor=head[0], segment=head[1], doc_id=head[2], place=head[3], **more)
     if again.shape[1]:
         doc, tag, a, b = _spans(again[2], *_of_place(again[3]))
-        yield _batch(anchor=mixed(doc.astype(U64) + a.astype(U64)).view(np.int64), segment=b, doc_id=doc, place=~(tag << 41 | a << 9))
+        yield _batch(anchor=mixed(doc.astype(U64) + a.astype(U64)).view(np.int64), segment=b, doc_id=doc, place=~(tag << 41 | a << 9), **{c: np.zeros_like(a) for c in more})
 
 
 _ROW = "anchor long, segment long, doc_id long, place long"
 _FOUND = "kind int, anchor long, doc_id long, tag int, a int, b int"
 
 
-def _found(kind, anchor, doc, tag, a, b) -> pa.RecordBatch:
-    return _batch(kind=kind.astype(np.int32), anchor=anchor, doc_id=doc, tag=tag.astype(np.int32), a=a.astype(np.int32), b=b.astype(np.int32))
+def _found(kind, anchor, doc, tag, a, b, *sides) -> pa.RecordBatch:
+    return _batch(kind=kind.astype(np.int32), anchor=anchor, doc_id=doc, tag=tag.astype(np.int32), a=a.astype(np.int32), b=b.astype(np.int32), **dict(zip(("sides",), sides, strict=False)))
+
+
+def _partnered(x: np.ndarray) -> np.ndarray:
+    """Which classes have the same units before or behind the anchor as another class of it, where windows of both cover them."""
+    side, far = x[4].view(U64), x[4] & (1 << FAR_BITS) - 1
+    before, behind = np.flatnonzero(far > 0), np.flatnonzero(far <= (x[3] >> 1 & 0xFF))
+    key = mixed(np.concatenate([side[before] >> U64(SIDE_BITS + FAR_BITS) << U64(1), (side[behind] >> U64(FAR_BITS) & U64((1 << SIDE_BITS) - 1)) << U64(1) | U64(1)]))
+    of = np.concatenate([before, behind])
+    key = mixed(key + x[0, of].view(U64))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    out = np.zeros(x.shape[1], bool)
+    out[of[order[1:][same]]] = out[of[order[:-1][same]]] = True
+    return out
 
 
 def settle(batches) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, segment, doc_id, place): spans (kind 0), classes to decide, with others (kind 2) or without (kind 1).
 
-    One class is kept from batch to batch: a hot anchor needs no more memory than any other."""
-    held, opened = np.empty((4, 0), np.int64), False
+    From batch to batch one class is kept, with sides all of the last anchor (GROUP of them at most): a hot anchor needs little more memory
+    than any other."""
+    held, opened = None, False
     for batch in _and_end(batches):
         x = held
         if batch is not None:
-            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             span = x[3] < 0
             if span.any():
                 tag, a, _ = _of_place(~x[3, span])
-                yield _found(np.zeros(len(a)), x[0, span], x[2, span], tag, a, x[1, span])
-            x = np.concatenate([held, x[:, ~span]], axis=1)
-        if not x.shape[1]:
+                yield _found(np.zeros(len(a)), x[0, span], x[2, span], tag, a, x[1, span], *x[4:, span])
+            x = x[:, ~span] if held is None else np.concatenate([held, x[:, ~span]], axis=1)
+        if x is None or not x.shape[1]:
             continue
         head, again = _classes(x)
         if again.shape[1]:
             doc, tag, a, b = _spans(again[2], *_of_place(again[3]))
-            yield _found(np.zeros(len(a)), np.zeros(len(a), np.int64), doc, tag, a, b)
+            yield _found(np.zeros(len(a)), np.zeros(len(a), np.int64), doc, tag, a, b, *np.zeros((len(x) - 4, len(a)), np.int64))
         new = np.concatenate([[True], head[0, 1:] != head[0, :-1]])
         at, group = np.flatnonzero(new), np.cumsum(new) - 1
         several = np.bincount(group) > 1
         several[0] |= opened
         keep = (several | np.maximum.reduceat(head[3] & 1, at).astype(bool))[group]
+        whole = np.full(len(at), len(x) > 4)  # anchors whose classes are all here, with sides
+        whole[0] &= not opened
         if batch is not None:
-            held, opened = head[:, -1:], bool(several[-1])
-            keep[-1] = False
+            whole[-1] &= head.shape[1] - at[-1] <= GROUP
+            back = at[-1] if whole[-1] else head.shape[1] - 1
+            held, opened = head[:, back:], bool(several[-1]) and not whole[-1]
+            keep[back:] = False
+        if whole.any():
+            keep &= ~whole[group] | (head[3] & 1).astype(bool) | _partnered(head)
         if keep.any():
-            yield _found(1 + (head[3, keep] & 1), head[0, keep], head[2, keep], *_of_place(head[3, keep]))
+            yield _found(1 + (head[3, keep] & 1), head[0, keep], head[2, keep], *_of_place(head[3, keep]), *head[4:, keep])
 
 
 def _and_end(batches):
@@ -155,9 +197,11 @@ def _and_end(batches):
     yield None
 
 
-def repeated(docs: DataFrame, units: Callable[[list[str | None]], list[np.ndarray]], window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, units: Callable[[list[str | None]], list[np.ndarray]], window: int, anchor: int, sides: bool = False) -> tuple[DataFrame, DataFrame]:
     """(spans, open): spans(doc_id, tag, a, b) are window starts known to repeat earlier windows; open(anchor, doc_id, tag, a, b,
-    others) has the earliest segment of each class that has others or shares its anchor. Rows of null doc_id take no part."""
+    others and, if asked for, sides) has the earliest segment of each class that has others or shares its anchor (with sides: and the
+    units beside it). Rows of null doc_id take no part."""
+    more = ", sides long" if sides else ""
 
     def gather(batches):
         held, waiting, sizes = [], [], [0, 0]
@@ -165,7 +209,7 @@ def repeated(docs: DataFrame, units: Callable[[list[str | None]], list[np.ndarra
         def hash_waiting():
             if waiting:
                 doc, tag, start, u = zip(*waiting, strict=True)
-                held.append(segments(np.array(doc, np.int64), np.array(tag, np.int64), np.array(start, np.int64), list(u), window, anchor))
+                held.append(segments(np.array(doc, np.int64), np.array(tag, np.int64), np.array(start, np.int64), list(u), window, anchor, sides))
             waiting.clear()
             sizes[0] = 0
 
@@ -189,9 +233,9 @@ def repeated(docs: DataFrame, units: Callable[[list[str | None]], list[np.ndarra
             yield from _passed(np.concatenate(held, axis=1))
 
     long_enough = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window)).select("doc_id", "text", text_tag())
-    rows = long_enough.mapInArrow(gather, _ROW).repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "place")
-    done = written(rows.mapInArrow(settle, _FOUND), "settled")
-    return done.where("kind = 0").select("doc_id", "tag", "a", "b"), done.where("kind > 0").select("anchor", "doc_id", "tag", "a", "b", (F.col("kind") == 2).alias("others"))
+    rows = long_enough.mapInArrow(gather, _ROW + more).repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "place")
+    done = written(rows.mapInArrow(settle, _FOUND + more), "settled")
+    return done.where("kind = 0").select("doc_id", "tag", "a", "b"), done.where("kind > 0").select("anchor", "doc_id", "tag", "a", "b", (F.col("kind") == 2).alias("others"), *["sides"] * sides)
 
 
 def with_text(docs: DataFrame, open_: DataFrame, *columns: str) -> DataFrame:

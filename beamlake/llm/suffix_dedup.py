@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm.base import U64, doubled, map_arrow, mixed, removed, run_at, table, written
-from beamlake.llm.repeats import _spans, by_document, byte_hashes, byte_units, covered, repeated, span_arrays, text_tag, with_text
+from beamlake.llm.base import doubled, map_arrow, removed, run_at, table, written
+from beamlake.llm.repeats import FAR_BITS, SIDE_BITS, _spans, by_document, byte_hashes, byte_units, covered, repeated, span_arrays, text_tag, with_text
 
 LENGTH, ANCHOR = 100, 32
-#: Bytes of a block, and segments of an anchor beyond which it is split by the run of twice its length.
+#: Bytes of a block, and segments of a key beyond which it is split: an anchor by the bytes beside it, such a part window by window.
 BLOCK_BYTES, CROWDED = 1 << 19, 4096
 _SEPARATOR, _END = 0xFF, 0xFE  # never in UTF-8
 
@@ -105,27 +105,32 @@ def window_order(payload: list[bytes], rank: np.ndarray, threshold: int) -> tupl
 def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """spans(doc_id, tag, a, b): starts a..b (in bytes) of windows that also start earlier, by smaller doc_id or place.
 
-    Segments meet by their anchor, those of crowded anchors by the anchor's continuation to twice its length (for each window one run,
-    which depends on the window alone). Blocks of them are decided by interval expansion; of a group that goes on beyond a block, the
-    windows met so far go on with it, each once."""
-    spans, open_ = repeated(docs, byte_units, length, anchor)
+    Segments meet by their anchor; those of crowded anchors are cut in two at most, which meet by their anchor and the bytes before or
+    behind it; where these are crowded too, each window meets its equals by all its bytes. What a window meets by depends on the window
+    alone. Blocks of them are decided by interval expansion; of a group that goes on beyond a block, the windows met so far go on with it,
+    each once: these are at most those of CROWDED segments, however large the group."""
+    spans, open_ = repeated(docs, byte_units, length, anchor, sides=True)
     crowd = written(open_.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor", F.lit(True).alias("crowded")), "crowded")
-    asked = open_.join(crowd, "anchor", "left").select("anchor", "doc_id", "tag", "a", "b", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    longer = min(length, 2 * anchor)
+    marked = open_.join(crowd, "anchor", "left")
+    plain = marked.where("crowded is null").select(F.col("anchor").alias("key"), "doc_id", "tag", "a", "b", F.lit(False).alias("apart"))
+    far, before = F.expr(f"int(sides & {(1 << FAR_BITS) - 1})"), F.expr(f"shiftrightunsigned(sides, {FAR_BITS + SIDE_BITS})")
+    behind = F.expr(f"shiftrightunsigned(sides, {FAR_BITS}) & {(1 << SIDE_BITS) - 1}")
+    halves = F.array(
+        F.struct(F.xxhash64("anchor", F.lit(0), before).alias("key"), F.col("a").alias("a"), (F.col("a") + far - 1).alias("b")),
+        F.struct(F.xxhash64("anchor", F.lit(1), behind).alias("key"), (F.col("a") + far).alias("a"), F.col("b").alias("b")),
+    )
+    parts = written(marked.where("crowded").select("doc_id", "tag", "others", F.explode(halves).alias("half")).select("half.*", "doc_id", "tag", "others").where("a <= b"), "parts")
+    met = written(parts.groupBy("key").agg(F.count("*").alias("n"), F.max("others").alias("others")).where("n > 1 or others").select("key", (F.col("n") > CROWDED).alias("apart")), "met")
+    asked = plain.union(parts.join(met, "key").select("key", "doc_id", "tag", "a", "b", "apart"))
 
     def cut(batch):
         out: list[list] = [[], [], [], [], []]
         for doc, tag, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for s in found:
-                a, b, parts = s["a"], s["b"], [(s["anchor"], s["a"], s["b"])]
-                if s["crowded"]:
-                    steps = doubled(byte_hashes(raw[a : b + length]), longer)
-                    near = run_at(steps, anchor)[b - a : b - a + length - anchor + 1]
-                    run = np.minimum(b - a + len(near) - 1 - int(near[::-1].argmin()), np.arange(b - a + 1) + length - longer)
-                    key = mixed(run_at(steps, longer, run) + U64(s["anchor"] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-                    edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-                    parts = [(key[lo], a + lo, a + hi - 1) for lo, hi in zip(edge, [*edge[1:], len(run)], strict=True)]
+                a, b, parts = s["a"], s["b"], [(s["key"], s["a"], s["b"])]
+                if s["apart"]:
+                    parts = [(k, i, i) for i, k in enumerate(run_at(doubled(byte_hashes(raw[a : b + length]), length), length).view(np.int64), a)]
                 for k, lo, hi in parts:
                     for column, v in zip(out, (k, doc, tag, lo, raw[lo : hi + length]), strict=True):
                         column.append(v)
@@ -166,10 +171,10 @@ def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
         if held:
             yield decided(None)[0]
 
-    cuts = map_arrow(with_text(docs, asked, "anchor", "a", "b", "crowded"), cut, "key long, doc_id long, tag int, a int, payload binary", rows=128)
+    cuts = map_arrow(with_text(docs, asked, "key", "a", "b", "apart"), cut, "key long, doc_id long, tag int, a int, payload binary", rows=128)
     expanded = cuts.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "a").mapInArrow(expand, "doc_id long, tag int, a int, b int")
     found = written(spans.union(expanded), "byte-spans")
-    for used in (spans, crowd):
+    for used in (spans, crowd, parts, met):
         removed(docs.sparkSession, used)
     return found
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from beamlake.llm import decontaminate, lm
+from beamlake.llm import decontaminate, lm, suffix_dedup
 from beamlake.llm.quality import quality
 
 rnd = random.Random(12)
@@ -98,3 +98,31 @@ def test_pipeline_judges_rows_without_or_with_repeated_ids(spark, tmp_path):
         return sorted((r["text"] or "none").split()[0] for r in kept if r["doc_id"] in (None, 500))
 
     assert left(corpus_pipeline.toxicity, " filthword") == left(corpus_pipeline.decontaminated, f" {item}") == ["clean0", "clean1", "none"]
+
+
+def _dealt(spark, monkeypatch, common):
+    """key -> distinct texts that meet by it, of 300 documents that have nothing in common but one passage."""
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    docs = [(i, "".join(rnd.choices(letters, k=150)) + common + "".join(rnd.choices(letters, k=150))) for i in range(300)]
+    out, real = {}, suffix_dedup.map_arrow
+
+    def kept(*args, **options):
+        cuts = real(*args, **options)
+        for r in cuts.collect():
+            out.setdefault(r["key"], set()).add(bytes(r["payload"]))
+        return cuts
+
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 20)
+    monkeypatch.setattr(suffix_dedup, "map_arrow", kept)
+    assert suffix_dedup.repeated_byte_spans(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+    return out
+
+
+def test_texts_that_share_less_than_a_window_are_not_expanded(spark, monkeypatch):
+    assert not _dealt(spark, monkeypatch, "Forty bytes that all documents have here")
+
+
+def test_no_key_of_the_expansion_grows_with_its_crowd(spark, monkeypatch):
+    """Seventy bytes are common, windows of a hundred are not: what is carried from block to block stays small."""
+    dealt = _dealt(spark, monkeypatch, "Seventy bytes that all of these documents have in common, no more, no.")
+    assert dealt and max(map(len, dealt.values())) <= 20
